@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing
+from . import minhash, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_pareto_mix": mixing.op5_pareto_mix,
+        "op8_length_buckets": packing.op8_length_buckets,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
     }
 
