@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing
+from . import cells, minhash, mixing, packing, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tiled_topk": topk.op1_tiled_topk,
+        "op3_cell_dedup": cells.op3_cell_dedup,
         "op5_pareto_mix": mixing.op5_pareto_mix,
         "op8_length_buckets": packing.op8_length_buckets,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
@@ -18,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": mixing.ORACLE}
+    return {"op1_tiled_topk": topk.ORACLE, "op5_pareto_mix": mixing.ORACLE}
