@@ -44,29 +44,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows whose ``key`` is probably in the one column of ``ids`` (no false negatives).
+def flagged(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``key`` is not in the one column of ``ids`` (null keys: false).
 
-    A bitmap of fixed size is broadcast, never the ids; a join after this one is exact and shuffles few rows.
+    A bitmap of fixed size is broadcast, never the ids.
     """
     (id_col,) = ids.columns
     bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
     bits = (
         ids.select(bit(id_col).alias("_h"))
-        .groupBy((F.col("_h") / BITMAP_ROW).cast("int").alias("_row"))
+        .groupBy((F.col("_h") / BITMAP_ROW).cast("int").alias("_row_of"))
         .agg(F.expr(f"bitmap_construct_agg(_h % {BITMAP_ROW})").alias("_map"))
     )
     names = [F.col(c) for c in rows.columns]
-    spread = rows.withColumn("_h", bit(key)).withColumn("_row", (F.col("_h") / BITMAP_ROW).cast("int"))
+    spread = rows.withColumn("_h", bit(key)).withColumn("_row_of", (F.col("_h") / BITMAP_ROW).cast("int"))
     byte = F.expr(f"cast(conv(hex(substring(_map, cast((_h % {BITMAP_ROW}) div 8 as int) + 1, 1)), 16, 10) as int)")
     hit = F.expr("cast(_h % 8 as int)")
-    return (
-        spread.join(F.broadcast(bits), "_row")
-        .withColumn("_byte", byte)
-        .withColumn("_bit", hit)
-        .where("(shiftright(_byte, _bit) & 1) = 1")
-        .select(*names)
-    )
+    set_ = F.coalesce(F.col(key).isNotNull() & F.expr("(shiftright(_byte, _bit) & 1) = 1"), F.lit(False))
+    return spread.join(F.broadcast(bits), "_row_of", "left").withColumn("_byte", byte).withColumn("_bit", hit).select(*names, set_.alias("_maybe"))
+
+
+def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is probably in ``ids`` (no false negatives); a join after this one is exact and shuffles few."""
+    return flagged(rows, key, ids).where("_maybe").drop("_maybe")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:

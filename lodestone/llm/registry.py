@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, minhash, mixing, packing, topk
+from . import cells, licenses, minhash, mixing, packing, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tiled_topk": topk.op1_tiled_topk,
         "op3_cell_dedup": cells.op3_cell_dedup,
         "op5_pareto_mix": mixing.op5_pareto_mix,
+        "op6_license_join": licenses.op6_license_join,
         "op8_length_buckets": packing.op8_length_buckets,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tiled_topk": topk.ORACLE, "op5_pareto_mix": mixing.ORACLE}
+    return {"op1_tiled_topk": topk.ORACLE, "op5_pareto_mix": mixing.ORACLE, "op6_license_join": licenses.ORACLE}
