@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, licenses, minhash, mixing, packing, topk
+from . import cells, licenses, minhash, mixing, packing, pii, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_cell_dedup": cells.op3_cell_dedup,
         "op5_pareto_mix": mixing.op5_pareto_mix,
         "op6_license_join": licenses.op6_license_join,
+        "op7_pii_boosted": pii.op7_pii_boosted,
         "op8_length_buckets": packing.op8_length_buckets,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
     }
