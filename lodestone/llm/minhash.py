@@ -10,8 +10,10 @@ returns one row per document with its component.  Steps:
    bucket.  A hot bucket is pre-aggregated to its smallest member and joined back (a join that AQE splits).
 4. Candidates whose signatures agree too little are dropped (bound of six standard deviations, so that no true pair is
    lost), the rest are compared on their full sets, computed from the whole texts.
-5. Components by large-star and small-star.  Then buckets that still hold several components are compared across
-   components, so a pair that shares a bucket is left unchecked only if it is connected already.
+5. Components by large-star and small-star.  Members of buckets that still hold several components are then joined
+   across components on the rarest shingles of their sets, with prefix, length and positional filters (all exact), so a
+   pair that shares a bucket is left uncompared only if it is connected already or cannot reach the threshold.  Any
+   order of shingles keeps those filters exact; a table of ``SLOTS`` counts, of fixed size, orders them by frequency.
 
 A pair at exactly the threshold shares no bucket with probability (1 - t**rows)**bands: 3e-6 for the defaults at 0.8.
 """
@@ -35,6 +37,9 @@ from .words import mix, shingles, slices, words
 BANDS, ROWS = 32, 5
 #: Shingles hashed at once.
 BLOCK = 2048
+#: Entries of the frequency table that orders shingles, whatever the input.
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
 _U = np.uint64
 
 
@@ -110,6 +115,70 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, part, text) to (rep, part, n, items): the distinct shingle hashes as bytes."""
+    for batch in batches:
+        for first, texts in slices(batch.column(2)):
+            hashes, _, _, at = words(texts)
+            own = [shingles(hashes[at[i] : at[i + 1]], k) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())],
+                names=["rep", "part", "n", "items"],
+            )
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items = np.frombuffer(b"".join(batch.column("items").to_pylist()), dtype=_U)
+        slot, many = np.unique(items >> _U(64 - SLOT_BITS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(many.astype(np.int64))], names=["slot", "many"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, by place: those that a set within the threshold must share one of."""
+    table = counts.value
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for rep, part, n, items in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.frombuffer(items, dtype=_U)
+            many = table[own >> _U(64 - SLOT_BITS)]
+            order = np.lexsort((own, many))[: n - -(-percent * n // 100) + 1]
+            place = np.flatnonzero(many[order] > 1)
+            for column, value in zip(out, (own[order][place].view(np.int64), place, n, rep, part)):
+                column.append(np.broadcast_to(value, place.shape).astype(np.int64))
+        arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out]
+        yield pa.RecordBatch.from_arrays(arrays, names=["item", "place", "n", "rep", "part"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, items_a, items_b) with 100 * intersection >= percent * union."""
+    for batch in batches:
+        good = np.zeros(batch.num_rows, dtype=bool)
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            one, two = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (x, y))
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            good[i] = 100 * both >= percent * (len(one) + len(two) - both)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def _across(left: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different parts of ``left`` (rep, part), but for ``pairs`` that were compared before."""
+    spark = left.sparkSession
+    own = only_ids(texts, "doc_id", left.select("rep")).join(left, F.col("doc_id") == F.col("rep")).select("rep", "part", "text")
+    sets = stored(own.mapInArrow(partial(_sets, k=k), "rep long, part long, n long, items binary"), "sets")
+    slots = sets.select("items").mapInArrow(_slot_counts, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1").toArrow()
+    table = np.ones(SLOTS, dtype=np.int32)
+    table[slots.column("slot").to_numpy()] = np.minimum(slots.column("many").to_numpy(), np.iinfo(np.int32).max)
+    shared = spark.sparkContext.broadcast(table)
+    rare = stored(sets.select("rep", "part", "n", "items").mapInArrow(partial(_prefixes, counts=shared, percent=percent), "item long, place long, n long, rep long, part long"), "rare")
+    other = rare.toDF("item", "_place", "_n", "_rep", "_part")
+    able = f"rep < _rep and part <> _part and least(n - place, _n - _place) * {100 + percent} >= {percent} * (n + _n)"
+    found = rare.join(other, "item").where(able).select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+    found = found.join(pairs, ["a", "b"], "left_anti")
+    full = found.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("_y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("items").alias("_x")), "a")
+    return full.select("a", "b", "_x", "_y").mapInArrow(partial(_meet, percent=percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -151,10 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     parts = stored(components(links), "parts")
     where = placed.join(parts, placed.rep == parts.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     mixed = where.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("key")
-    left = stored(where.join(mixed, "key", "left_semi"), "mixed")
-    other = left.select("key", F.col("rep").alias("b"), F.col("part").alias("_part"))
-    across = left.join(other, "key").where("rep < b and part <> _part").select(F.col("rep").alias("a"), "b").distinct()
-    more = stored(check(across.join(pairs, ["a", "b"], "left_anti")), "more")
+    left = stored(where.join(mixed, "key", "left_semi").select("rep", "part").distinct(), "mixed")
+    more = stored(_across(left, own.where("doc_id is not null"), pairs, k, percent), "more")
     if more.limit(1).count():
         parts = stored(components(links.union(more)), "parts")
     found = members.join(parts, members.rep == parts.node, "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component"))
