@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, licenses, minhash, mixing, packing, pii, topk
+from . import cells, licenses, minhash, mixing, packing, pii, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_join": licenses.op6_license_join,
         "op7_pii_boosted": pii.op7_pii_boosted,
         "op8_length_buckets": packing.op8_length_buckets,
+        "op9_gru_toxicity": toxicity.op9_gru_toxicity,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
     }
 

@@ -20,6 +20,9 @@ SLICE = 4 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything of ASCII but letters and digits.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _BASE = int(_rng.integers(1, 1 << 62)) * 2 + 1
@@ -73,13 +76,16 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]
         first = last
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words in order, byte starts and ends of the words, and offsets of the rows in them."""
+def words(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, byte starts and ends of the words, and offsets of the rows in them.
+
+    With ``plain``, words are runs of letters, digits and non-ASCII characters instead.
+    """
     data, at = raw(column)
     n = len(data)
     if not n:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~(_MARKS if plain else _SPACE)[data]
     before = np.empty(n, dtype=bool)
     before[0], before[1:] = False, inside[:-1]
     edges = at[at < n]
@@ -121,3 +127,34 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         total = total * _U(0x9E3779B97F4A7C15) + hashes[i : i + n]
     return mix(total)
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character inputs of words: hashes of byte trigrams (with a mark before the word) and of prefixes of 4 to 6 bytes.
+
+    Returns the hashes, grouped by word, and the offset of each word's group; the prefixes come last in a group.
+    """
+    length = ends - starts
+    prefixes = np.clip(length - 3, 0, 3)
+    many = length - 1 + prefixes
+    at = np.concatenate([[0], np.cumsum(many)])
+    out = np.zeros(int(at[-1]), dtype=_U)
+    if not len(out):
+        return out, at
+    owner = np.repeat(np.arange(len(starts)), many)
+    turn = np.arange(len(out)) - at[owner]
+    is_prefix = turn >= (length - 1)[owner]
+    first = starts[owner] + turn - 1
+    tri = np.flatnonzero(~is_prefix)
+    value = lambda i: _VALUE[data[np.clip(i, 0, len(data) - 1)]]
+    head = np.where(turn[tri] == 0, _U(0x1234567), value(first[tri]))
+    out[tri] = mix(head * _U(0x9E3779B97F4A7C15) + value(first[tri] + 1) * _U(0xC2B2AE3D27D4EB4F) + value(first[tri] + 2) * _U(0x165667B19E3779F9) + _U(3))
+    pre = np.flatnonzero(is_prefix)
+    if len(pre):
+        size = 4 + turn[pre] - (length - 1)[owner[pre]]
+        total = np.zeros(len(pre), dtype=_U)
+        for i in range(6):
+            more = total * _U(0x9E3779B97F4A7C15) + value(starts[owner[pre]] + i)
+            total = np.where(i < size, more, total)
+        out[pre] = mix(total + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+    return out, at
