@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, licenses, minhash, mixing, packing, pii, topk, toxicity
+from . import cells, licenses, minhash, mixing, packing, pii, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiled_topk": topk.op1_tiled_topk,
+        "op2_chained_passages": substrings.op2_chained_passages,
         "op3_cell_dedup": cells.op3_cell_dedup,
         "op5_pareto_mix": mixing.op5_pareto_mix,
         "op6_license_join": licenses.op6_license_join,
