@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, licenses, minhash, mixing, packing, pii, substrings, topk, toxicity
+from . import cells, licenses, minhash, mixing, packing, pii, quality, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tiled_topk": topk.op1_tiled_topk,
         "op2_chained_passages": substrings.op2_chained_passages,
         "op3_cell_dedup": cells.op3_cell_dedup,
+        "op4_ordinal_quality": quality.op4_ordinal_quality,
         "op5_pareto_mix": mixing.op5_pareto_mix,
         "op6_license_join": licenses.op6_license_join,
         "op7_pii_boosted": pii.op7_pii_boosted,
