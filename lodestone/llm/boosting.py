@@ -67,13 +67,15 @@ def sql(model: list, names: list[str]) -> str:
 def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic link from margin to probability (Newton's method)."""
     a, b = 1.0, 0.0
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-(a * margin + b)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
         w = p * (1 - p) + 1e-6
-        ga, gb = ((y - p) * margin).sum() - 0.01 * (a - 1), (y - p).sum() - 0.01 * b
-        haa, hab, hbb = (w * margin * margin).sum() + 0.01, (w * margin).sum(), w.sum() + 0.01
+        ga, gb = ((y - p) * margin).sum() - (a - 1), (y - p).sum() - 0.1 * b
+        haa, hab, hbb = (w * margin * margin).sum() + 1, (w * margin).sum(), w.sum() + 0.1
         det = haa * hbb - hab * hab
-        a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        short = min(1.0, 1 / max(abs(da), abs(db), 1e-9))
+        a, b = a + short * da, b + short * db
     return float(a), float(b)
 
 

@@ -7,8 +7,8 @@ of its worst window, through a calibrated logistic link.
 
 Fitting uses at most ``SAMPLE`` labelled texts of each label, a stated bound; labels are the only inputs besides texts.
 Word and trigram tables come from the sample by counting texts; when the network is trained, each text's own count is
-taken out of its inputs (leave one out), so that it sees words as it will see those of new texts.  A part of the sample
-that takes no part in counting or training calibrates.
+taken out of its inputs (leave one out), so that it sees words as it will see those of new texts.  The same is done where
+the link is calibrated; a fifth of the sample enters only there.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .words import pieces, raw, slices, words
 WINDOW, STEP = 40, 30
 SAMPLE = 5_000
 EPOCHS = 6
+#: Fewest gradient steps and windows in each, so that small tables are fitted too.
+LEAST_STEPS, STEP_ROWS = 500, 128
 #: Share of the sample that calibrates, in fifths.
 CALIBRATE = 1
 CUT = 0.3
@@ -114,20 +116,23 @@ def _laid(at: np.ndarray, owner: np.ndarray, first: np.ndarray, row: np.ndarray,
     return np.where(real, row[np.minimum(places, max(0, len(row) - 1))], pad), real
 
 
-def text_margins(texts: pa.Array, net: dict, lexicon: Lexicon) -> np.ndarray:
-    """Largest window score of each text; minus infinity for texts without words."""
+def text_margins(texts: pa.Array, net: dict, lexicon: Lexicon, own: int | None = None) -> np.ndarray:
+    """Largest window score of each text; minus infinity for texts without words.
+
+    ``own`` is the label under which the texts were counted, if they were; their counts are then left out.
+    """
     hashes, starts, ends, at = words(texts, plain=True)
     out = np.full(len(texts), -np.inf, dtype=np.float64)
     if not len(hashes):
         return out
     data, _ = raw(texts)
     unique, first, row = np.unique(hashes, return_index=True, return_inverse=True)
-    vectors = np.concatenate([inputs(data, unique, starts[first], ends[first], lexicon), np.zeros((1, INPUTS), np.float32)])
+    vectors = np.concatenate([inputs(data, unique, starts[first], ends[first], lexicon, own), np.zeros((1, INPUTS), np.float32)])
     owner, begin = windows(at)
     for i in range(0, len(owner), BATCH):
-        own, b = owner[i : i + BATCH], begin[i : i + BATCH]
-        places, real = _laid(at, own, b, row, len(unique))
-        np.maximum.at(out, own, gru.logits(net, vectors, places, real).astype(np.float64))
+        part, b = owner[i : i + BATCH], begin[i : i + BATCH]
+        places, real = _laid(at, part, b, row, len(unique))
+        np.maximum.at(out, part, gru.logits(net, vectors, places, real).astype(np.float64))
     return out
 
 
@@ -176,6 +181,17 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(margins)], names=["doc_id", "margin"])
 
 
+def _score_known(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic, counted) to (toxic, margin), each counted text without its own counts."""
+    net, lexicon = model.value
+    for batch in batches:
+        label, counted = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+        for own in (None, 0, 1):
+            rows = batch.filter(pa.array(~counted if own is None else counted & (label == own)))
+            for first, texts in slices(rows.column(0), 2 << 20):
+                yield pa.RecordBatch.from_arrays([rows.column(1).slice(first, len(texts)), pa.array(text_margins(texts, net, lexicon, own))], names=["toxic", "margin"])
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -204,11 +220,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     chosen = fit_rows.repartition(12).mapInArrow(partial(_chosen, lexicon=spark.sparkContext.broadcast(lexicon)), "text string, toxic long").toArrow()
     net = _fit_windows(chosen, lexicon)
     model = spark.sparkContext.broadcast((net, lexicon))
-    parts = rows.where(f"_part < {CALIBRATE}")
-    if parts.select("toxic").distinct().count() < 2:
-        parts = rows
-    scored = parts.select("toxic", "text").repartition(12).mapInArrow(partial(_score, model=model), "toxic long, margin double").toArrow()
-    margin, y = scored.column(0 + 1).to_numpy(), scored.column(0).to_numpy().astype(float)
+    known_rows = rows.select("text", "toxic", (F.col("_part") >= CALIBRATE).alias("counted")).repartition(12)
+    scored = known_rows.mapInArrow(partial(_score_known, model=model), "toxic long, margin double").toArrow()
+    margin, y = scored.column("margin").to_numpy(), scored.column("toxic").to_numpy().astype(float)
     fine = np.isfinite(margin)
     if fine.sum() < 2:
         return model, 1.0, 0.0
@@ -236,7 +250,7 @@ def _fit_windows(chosen: pa.Table, lexicon: Lexicon) -> dict:
     if not ys:
         return gru.start(INPUTS)
     order = np.argsort(np.concatenate([np.arange(len(y)) * (len(ys[0]) / max(1, len(y))) for y in ys]), kind="stable")
-    return gru.fit(np.concatenate(tables), np.concatenate(places)[order], np.concatenate(reals)[order], np.concatenate(ys)[order], EPOCHS)
+    return gru.fit(np.concatenate(tables), np.concatenate(places)[order], np.concatenate(reals)[order], np.concatenate(ys)[order], max(EPOCHS, -(-LEAST_STEPS * STEP_ROWS // sum(map(len, ys)))), STEP_ROWS)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
