@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -24,19 +25,18 @@ _CJK = "\u4e00-\u9fff"
 
 
 def contains_any(text: Column, terms) -> Column:
-    """True if ``text`` holds one of ``terms``."""
-    found = F.lit(False)
-    for term in terms:
-        found = found | text.contains(term)
-    return found
+    """True if ``text`` holds one of ``terms``; one expression, however many terms there are."""
+    return text.rlike("|".join(re.escape(t) for t in terms))
+
+
+def holds_any(terms):
+    """Test of :func:`contains_any` for higher-order functions."""
+    return lambda text: contains_any(text, terms)
 
 
 def count_terms(text: Column, terms) -> Column:
     """How many of ``terms`` the text holds."""
-    total = F.lit(0)
-    for term in terms:
-        total = total + text.contains(term).cast("int")
-    return total
+    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: text.contains(t)))
 
 
 def _folded(function, text: Column) -> Column:
@@ -117,9 +117,8 @@ def parse_quantity(text: Column, unit: Column | None = None) -> tuple[Column, Co
     number, plain = parse_number(text), F.coalesce(text.cast("string"), F.lit(""))
     given = clean_text(unit) if unit is not None else F.lit(None).cast("string")
     follows = clean_text(F.regexp_extract(plain, rf"(?U)\d(?:[\d,.，]*)(?:\.\d+)?\s*\(?\s*([A-Za-z]+\d?|[{_CJK}]{{1,6}})\s*\)?", 1))
-    known = F.lit(None).cast("string")
-    for name in reversed(L.QUANTITY_UNITS):
-        known = F.when(plain.rlike(rf"(?U)\d(?:[\d,.，]*)(?:\([^)]*\))?\s*{name}"), F.lit(name)).otherwise(known)
+    units = F.array(*[F.lit(u) for u in L.QUANTITY_UNITS])
+    known = F.get(F.filter(units, lambda u: F.rlike(plain, F.concat(F.lit(r"(?U)\d(?:[\d,.，]*)(?:\([^)]*\))?\s*"), u))), F.lit(0))
     return number, F.coalesce(given, F.when(number.isNotNull(), F.coalesce(follows, known)))
 
 
@@ -304,7 +303,7 @@ def excerpt(rows: Column, row: Column, text: Column) -> Column:
 
 def parse_ids(text: Column) -> Column:
     """X-29: comma-separated ids, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def value_key(value: Column, numeric: bool = False) -> Column:

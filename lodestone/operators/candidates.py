@@ -47,7 +47,7 @@ def match_columns(cells: Column) -> Column:
     """E-13: field to leftmost column whose cell holds one of its names; a column may serve several fields."""
     pairs = []
     for name, aliases in L.HEADER_ALIASES.items():
-        place = F.array_position(F.transform(cells, lambda c, names=aliases: X.contains_any(c, names)), F.lit(True))
+        place = F.array_position(F.transform(cells, X.holds_any(aliases)), F.lit(True))
         pairs.append(F.when(place > 0, F.struct(F.lit(name).alias("field"), (place - 1).cast("int").alias("place"))))
     return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
 
@@ -149,11 +149,11 @@ def model_bids(answers: DataFrame, legacy: bool = False) -> DataFrame:
 def recovered_rows(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """E-19, E-20: bids with the one table row that names them (equal, or holding a name of four characters or more);
     ``valid`` tells if their block is there and the row within it."""
-    rows = blocks.select("notice_id", "block_id", "rows", F.posexplode_outer("rows").alias("_i", "_row"))
-    cells = rows.where("_row is not null").select("notice_id", "block_id", (F.col("_i") + 1).alias("_at"), F.transform("_row", X.match_text).alias("_cells"))
-    name = X.match_text(F.col("name"))
-    names = found.select("notice_id", "block_id", "name").distinct().withColumn("_n", name).where("_n <> ''")
-    hits = names.join(cells, ["notice_id", "block_id"]).where(F.exists("_cells", lambda c: (c == F.col("_n")) | ((F.length("_n") >= 4) & c.contains(F.col("_n")))))
+    rows = blocks.select("notice_id", "block_id", F.posexplode("rows").alias("_i", "_row"))
+    cells = rows.select("notice_id", "block_id", (F.col("_i") + 1).alias("_at"), F.explode("_row").alias("_c")).withColumn("_c", X.match_text(F.col("_c")))
+    names = found.select("notice_id", "block_id", "name").distinct().withColumn("_n", X.match_text(F.col("name"))).where("_n <> ''")
+    hits = names.join(cells, ["notice_id", "block_id"]).where((F.col("_c") == F.col("_n")) | ((F.length("_n") >= 4) & F.col("_c").contains(F.col("_n"))))
+    hits = hits.select("notice_id", "block_id", "name", "_at").distinct()
     one = hits.groupBy("notice_id", "block_id", "name").agg(F.count("*").alias("_hits"), F.min("_at").alias("_at")).where("_hits = 1").drop("_hits")
     sizes = blocks.groupBy("notice_id", "block_id").agg(F.max(F.coalesce(F.size("rows"), F.lit(0))).alias("_size"))
     out = found.join(one, ["notice_id", "block_id", "name"], "left").join(sizes, ["notice_id", "block_id"], "left")

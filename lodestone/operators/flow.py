@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Hold a result that several branches of a plan read, so that it is planned and computed once."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def numbered(rows: DataFrame, group: list[str], order: list, name: str = "item_no") -> DataFrame:

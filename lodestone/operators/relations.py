@@ -151,6 +151,10 @@ def alias_candidates(orgs: DataFrame, least: float = L.ALIAS_LEAST, gram: int =
     other = rare.select(F.col("org_id").alias("old_id"), F.col("name_norm").alias("old_name"), F.col("first_seq").alias("_seq"), F.col("n").alias("_n"), "piece")
     met = rare.where("n >= 4").join(other, "piece").where((F.col("first_seq") > F.col("_seq")) & (2.0 * F.least("n", "_n") / (F.col("n") + F.col("_n")) >= least))
     met = met.select("org_id", "name_norm", "old_id", "old_name").distinct()
+    # characters that both names have, each as often as both do, bound the ratio too
+    bag = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), i, F.lit(1)), (F.length(F.substring(F.col(c), F.lit(1), i)) - F.length(F.replace(F.substring(F.col(c), F.lit(1), i), F.substring(F.col(c), i, F.lit(1)), F.lit("")))).cast("string")))
+    shared = F.size(F.array_intersect(bag("name_norm"), bag("old_name")))
+    met = met.where(2.0 * shared / (F.length("name_norm") + F.length("old_name")) >= least)
     found = met.withColumn("similarity", X.sequence_ratio("name_norm", "old_name")).where((F.col("similarity") >= least) & (F.col("similarity") < 1))
     left, right = F.least("org_id", "old_id"), F.greatest("org_id", "old_id")
     return found.select(X.stable_id("alias", left, right).alias("review_id"), left.alias("left_org_id"), right.alias("right_org_id"), "similarity").dropDuplicates(["review_id"])

@@ -433,7 +433,7 @@ def alias_resolution(spark, d):
 
 @query()
 def alias_candidates(spark, d):
-    rows = C.read(spark, d, "part").groupBy(F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type").alias("name_norm")).agg(F.min("p_partkey").alias("first_seq"))
+    rows = C.read(spark, d, "part").groupBy(F.concat("p_name", F.lit(" "), "p_type").alias("name_norm")).agg(F.min("p_partkey").alias("first_seq"))
     return relations.alias_candidates(rows.withColumn("org_id", X.stable_id("org", F.col("name_norm"))))
 
 
