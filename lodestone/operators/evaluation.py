@@ -311,3 +311,13 @@ def with_fallback(rules: DataFrame, answers: DataFrame) -> DataFrame:
 def gold_mapper(rows: DataFrame, mapper: dict[str, int]) -> DataFrame:
     """P-07: named fields by column place."""
     return rows.select("*", *[F.get("cells", F.lit(place)).alias(name) for name, place in mapper.items()])
+
+
+def dataset_report(notices: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame]:
+    """A-24: notices by source, and the regions with most of them; an unknown one is 未知."""
+    return histogram(notices, "source"), histogram(notices, "region").orderBy(F.desc("n"), "region").limit(top)
+
+
+def of_results(rows: DataFrame) -> DataFrame:
+    """M-10, R-06: rows whose address is one of result notices; the others go from every list alike."""
+    return rows.where(F.coalesce(F.col("url").contains(L.RESULT_URL), F.lit(False)))
