@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,9 +13,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: Bits of the membership filter of :func:`only_ids`; 2**25 bits make 1,024 rows of 4 KB, 4 MB whatever the input.
 FILTER_BITS = 1 << 25
+#: Bytes of one Arrow batch between the JVM and Python, unless the session says otherwise.
+BATCH_BYTES = "4m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("64m", "67108864b", "67108864")
 #: Bits of one row that ``bitmap_construct_agg`` builds.
 BITMAP_ROW = 32_768
 
@@ -30,12 +37,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts cost an executor little memory beside its heap."""
+    if spark.conf.get(_BATCH_SETTING, None) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here, and lost executors lose nothing.
 
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -44,6 +58,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of numpy and Arrow to the system after work on the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries other than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Keep a small table that is read several times on the executors' disks.  Its lineage stays: what a lost executor
+    held is computed again."""
+    small_batches(df.sparkSession)
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def flagged(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` with ``_maybe``: false only where ``key`` is not in the one column of ``ids`` (null keys: false).
 

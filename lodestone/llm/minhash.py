@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_ids, stored, table
+from .common import flagged, give_back, only_ids, stored, table
 from .components import components
 from .words import mix, shingles, slices, words
 
@@ -170,6 +170,8 @@ def _across(left: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent
     table = np.ones(SLOTS, dtype=np.int32)
     table[slots.column("slot").to_numpy()] = np.minimum(slots.column("many").to_numpy(), np.iinfo(np.int32).max)
     shared = spark.sparkContext.broadcast(table)
+    del slots, table
+    give_back()
     rare = stored(sets.select("rep", "part", "n", "items").mapInArrow(partial(_prefixes, counts=shared, percent=percent), "item long, place long, n long, rep long, part long"), "rare")
     other = rare.toDF("item", "_place", "_n", "_rep", "_part")
     able = f"rep < _rep and part <> _part and least(n - place, _n - _place) * {100 + percent} >= {percent} * (n + _n)"
@@ -191,11 +193,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         "signed",
     )
     usable = signed.where("digest is not null and doc_id is not null")
-    heads = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "heads")
-    members = stored(usable.select("digest", "doc_id").join(heads.select("digest", "rep"), "digest").select("doc_id", "rep").distinct(), "members")
-    placed = stored(heads.select("rep", F.explode("bands").alias("key")), "buckets")
+    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "classes")
+    copies = stored(usable.select("digest", "doc_id").join(classes, "digest").select("doc_id", "rep").distinct(), "copies")
+    # rows of classes of one go on as they are; of the others, which a small bitmap points out, the first row does
+    marked = flagged(usable.select("doc_id", "digest", "bands", "sig"), "doc_id", copies.select("doc_id"))
+    rest = marked.where("_maybe").join(classes, "digest", "left").where("rep is null or rep = doc_id").dropDuplicates(["digest"])
+    heads = marked.where("not _maybe").union(rest.select(marked.columns)).select(F.col("doc_id").alias("rep"), "bands", "sig")
+    placed = heads.select("rep", F.explode("bands").alias("key"))
     stars = placed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).where("a <> _most").drop("_most")
-    pairs = stored(placed.join(stars, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = stored(placed.join(stored(stars, "bucket-heads"), "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
 
     count = bands * rows
     t = percent / 100
@@ -214,13 +220,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         return full.select("a", "b", "_ta", "_tb").mapInArrow(partial(_compare, k=k, percent=percent), "a long, b long")
 
     # where one doc_id has several texts, their classes belong together
-    spread = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).where("a <> _most").drop("_most")
-    alike = members.join(spread, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    members = usable.select("digest", "doc_id").join(classes, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    spread = copies.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most"))
+    alike = spread.where("a <> doc_id or _most <> doc_id").select(F.col("doc_id").alias("a"), F.explode(F.array("a", "_most")).alias("b")).where("a <> b")
     links = stored(check(pairs).union(alike), "near")
     parts = stored(components(links), "parts")
     where = placed.join(parts, placed.rep == parts.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     mixed = where.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("key")
-    left = stored(where.join(mixed, "key", "left_semi").select("rep", "part").distinct(), "mixed")
+    left = stored(where.join(stored(mixed, "mixed-buckets"), "key", "left_semi").select("rep", "part").distinct(), "mixed")
     more = stored(_across(left, own.where("doc_id is not null"), pairs, k, percent), "more")
     if more.limit(1).count():
         parts = stored(components(links.union(more)), "parts")

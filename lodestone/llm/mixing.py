@@ -45,7 +45,7 @@ def odds(size_class: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table after a look at its size; otherwise leave the join to the planner."""
+    """Broadcast a table that is kept after a look at its size; otherwise leave the join to the planner."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 

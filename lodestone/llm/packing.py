@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import held, stored, table
 from .mixing import n_words, small
 
 LONGEST = 2048
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget
     placed = cut.withColumn("_slice", F.pmod(key, slots))
     counts = placed.groupBy("bucket_len", "_slice").agg(F.count("*").alias("_many"))
     before = Window.partitionBy("bucket_len").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(counts.select("bucket_len", "_slice", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_from")), "slices")
+    offsets = held(counts.select("bucket_len", "_slice", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_from")))
     order = Window.partitionBy("bucket_len", "_slice").orderBy("doc_id", "piece", "_row")
     numbered = placed.withColumn("_turn", F.row_number().over(order)).join(small(offsets), ["bucket_len", "_slice"])
     numbered = numbered.withColumn("_at", F.col("_from") + F.col("_turn") - 1)

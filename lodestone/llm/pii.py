@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import flagged, stored, table
+from .common import flagged, held, stored, table
 
 BASE = ("email", "ip", "card", "phone")
 WIDE = ("secret", "id", "number", "tel", "dotted")
@@ -65,9 +65,15 @@ def _digits(column: str) -> Column:
     return F.regexp_replace(column, "[^0-9]", "")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Stored rows (doc_id, _row, _found array of kind, place, gap, context, match), one for each row of ``docs``."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("_row"))
+def candidates(docs: DataFrame, looked: bool = False) -> DataFrame:
+    """Rows of ``docs`` (with text) with an array of the matches of each pattern: kind, gap before, context, match.
+
+    With ``looked``, texts that no pattern can match (a cheap look tells) are left out.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    if looked:
+        rows = rows.where(" OR ".join(sorted(set(LOOKS.values()))))
 
     def cut(kind: str) -> Column:
         pattern = PATTERNS[kind]
@@ -77,7 +83,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         empty = F.expr("cast(array() as array<struct<kind:string,gap:int,context:string,match:string>>)")
         return F.when(F.expr(LOOKS[kind]) & F.col("_text").rlike(pattern), some).otherwise(empty)
 
-    return stored(rows.select("doc_id", "_row", *[cut(k).alias(k) for k in PATTERNS]), "candidates")
+    return rows.select(*names, *[cut(k).alias(k) for k in PATTERNS])
 
 
 def placed(found: DataFrame) -> DataFrame:
@@ -178,13 +184,10 @@ def trained(spark: SparkSession) -> tuple[str, str]:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Chosen spans of stored candidates: _row, kind, start, end."""
+    """Chosen spans of candidates: _row, kind, start, end."""
     probability, cut = trained(found.sparkSession)
-    rows = placed(found)
-    base = rows.where(F.col("kind").isin(*BASE)).where(base_rule())
-    wide = features(rows.where(F.col("kind").isin(*WIDE))).where(f"{probability} >= {cut}")
-    columns = ["_row", "kind", "start", "end"]
-    return base.select(columns).union(wide.select(columns))
+    rows = features(placed(found)).withColumn("_base", F.col("kind").isin(*BASE))
+    return rows.where(F.when(F.col("_base"), base_rule()).otherwise(F.expr(f"{probability} >= {cut}"))).select("_row", "kind", "start", "end")
 
 
 def place() -> Column:
@@ -198,7 +201,7 @@ def detect(docs: DataFrame) -> DataFrame:
     Offsets are code points, end exclusive.  Null and empty texts have no spans: counts 0, the digest of the empty
     string, and empty spans.  Repeated rows are scanned each.
     """
-    found = candidates(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+    found = stored(candidates(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())), "candidates")
     tag = F.struct("start", place().alias("_k"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("_s"))
     own = spans(found).withColumn("_tag", tag).groupBy("_row").agg(
         *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in BASE],
@@ -217,14 +220,16 @@ def op7_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of ``text`` replaced by its kind in brackets; overlapping spans count as one, of
     the kind that starts first.  Other columns stay; n_chars, where there is one, follows the text."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    # spans depend on the text alone, so they are found once a text and come back by its digest
+    digest = F.md5(F.col("text").cast("binary"))
+    texts = candidates(docs.select(digest.alias("_row"), "text"), looked=True).dropDuplicates(["_row"])
     order = Window.partitionBy("_row").orderBy("start", F.desc("end"), place())
-    found = spans(candidates(rows)).withColumn("_past", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    found = spans(texts).withColumn("_past", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("_new", F.coalesce(F.col("start") >= F.col("_past"), F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(order))
     whole = found.groupBy("_row", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct(F.col("start"), place())).alias("kind"))
     whole = whole.withColumn("_from", F.coalesce(F.lag("end").over(Window.partitionBy("_row").orderBy("start")), F.lit(0)))
-    cuts = stored(whole.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "_from"))).alias("_cuts"), F.max("end").alias("_last")), "cuts")
-    marked = flagged(rows, "_row", cuts.select("_row"))
+    cuts = held(whole.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "_from"))).alias("_cuts"), F.max("end").alias("_last")))
+    marked = flagged(docs.withColumn("_row", digest).withColumn("_hash", F.xxhash64("_row")), "_hash", cuts.select(F.xxhash64("_row").alias("_hash")))
     touched = marked.where("_maybe").drop("_maybe").join(cuts, "_row", "left")
     piece = lambda c: F.concat(F.substring(F.col("text"), c["_from"].cast("int") + 1, (c["start"] - c["_from"]).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]"))
     text = F.concat(F.array_join(F.transform("_cuts", piece), ""), F.expr("substring(text, cast(_last as int) + 1)"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting, gru
-from .common import stored, table
+from .common import give_back, held, table
 from .words import pieces, raw, slices, words
 
 WINDOW, STEP = 40, 30
@@ -36,8 +36,8 @@ CUT = 0.3
 #: Words, trigrams or prefixes must be in so many texts of the sample to enter the tables.
 LEAST = 3
 INPUTS = 6
-#: Windows scored at once.
-BATCH = 2048
+#: Windows scored and bytes of text read at once.
+BATCH, SLICE = 2048, 1 << 20
 _U = np.uint64
 _WORD = _U(0x9E6C63D0876A9A35)
 
@@ -176,7 +176,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBat
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     net, lexicon = model.value
     for batch in batches:
-        for first, texts in slices(batch.column(1), 2 << 20):
+        for first, texts in slices(batch.column(1), SLICE):
             margins = text_margins(texts, net, lexicon)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(margins)], names=["doc_id", "margin"])
 
@@ -188,7 +188,7 @@ def _score_known(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Record
         label, counted = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
         for own in (None, 0, 1):
             rows = batch.filter(pa.array(~counted if own is None else counted & (label == own)))
-            for first, texts in slices(rows.column(0), 2 << 20):
+            for first, texts in slices(rows.column(0), SLICE):
                 yield pa.RecordBatch.from_arrays([rows.column(1).slice(first, len(texts)), pa.array(text_margins(texts, net, lexicon, own))], names=["toxic", "margin"])
 
 
@@ -205,10 +205,10 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     mixed = F.xxhash64(F.col("_id"), F.lit(17))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == y).orderBy(mixed, "_id").limit(sample) for y in (0, 1)]
-    ids = stored(picked[0].union(picked[1]).withColumn("_part", F.pmod(F.xxhash64(F.col("_id"), F.lit(29)), F.lit(5))), "sample")
+    ids = held(picked[0].union(picked[1]).withColumn("_part", F.pmod(F.xxhash64(F.col("_id"), F.lit(29)), F.lit(5))))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most 2 * sample ids of 8 bytes are broadcast
-    rows = stored(texts.join(F.broadcast(ids), "_id").select("text", "toxic", "_part"), "labelled")
+    rows = held(texts.join(F.broadcast(ids), "_id").select("text", "toxic", "_part").repartition(12))
     fit_rows = rows.where(f"_part >= {CALIBRATE}").select("text", "toxic")
     counts = fit_rows.mapInArrow(_features, "feature long, toxic long").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     counts = counts.where(f"all >= {LEAST}").toArrow()
@@ -217,15 +217,18 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     keys = counts.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     lexicon = Lexicon(keys[order], bad[order], (whole - bad)[order], (sizes.get(0, 0), sizes.get(1, 0)))
-    chosen = fit_rows.repartition(12).mapInArrow(partial(_chosen, lexicon=spark.sparkContext.broadcast(lexicon)), "text string, toxic long").toArrow()
+    chosen = fit_rows.mapInArrow(partial(_chosen, lexicon=spark.sparkContext.broadcast(lexicon)), "text string, toxic long").toArrow()
     net = _fit_windows(chosen, lexicon)
+    del counts, chosen, bad, whole, keys, order
+    give_back()
     model = spark.sparkContext.broadcast((net, lexicon))
-    known_rows = rows.select("text", "toxic", (F.col("_part") >= CALIBRATE).alias("counted")).repartition(12)
+    known_rows = rows.select("text", "toxic", (F.col("_part") >= CALIBRATE).alias("counted"))
     scored = known_rows.mapInArrow(partial(_score_known, model=model), "toxic long, margin double").toArrow()
     margin, y = scored.column("margin").to_numpy(), scored.column("toxic").to_numpy().astype(float)
+    give_back()
     fine = np.isfinite(margin)
     if fine.sum() < 2:
-        return model, 1.0, 0.0
+        return model, 0.05, -3.0
     slope, offset = boosting.calibrate(np.clip(margin[fine], -12, 12), y[fine])
     # the sample holds the labels in other shares than the table does
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -240,13 +243,16 @@ def _fit_windows(chosen: pa.Table, lexicon: Lexicon) -> dict:
         texts = chosen.column("text").filter(pa.array(labels == own)).combine_chunks()
         if not len(texts):
             continue
-        hashes, starts, ends, at = words(texts, plain=True)
-        data, _ = raw(texts)
-        tables.append(inputs(data, hashes, starts, ends, lexicon, own))
-        some = np.flatnonzero(np.diff(at))
-        place, real = _laid(at, some, at[:-1][some], np.arange(len(hashes)), -base)
-        places.append(place + base), reals.append(real), ys.append(np.full(len(some), own, np.float32))
-        base += len(hashes)
+        count = 0
+        for _, part in slices(texts, SLICE // 4):
+            hashes, starts, ends, at = words(part, plain=True)
+            tables.append(inputs(raw(part)[0], hashes, starts, ends, lexicon, own))
+            some = np.flatnonzero(np.diff(at))
+            place, real = _laid(at, some, at[:-1][some], np.arange(len(hashes)), -base)
+            places.append(place + base), reals.append(real)
+            base += len(hashes)
+            count += len(some)
+        ys.append(np.full(count, own, np.float32))
     if not ys:
         return gru.start(INPUTS)
     order = np.argsort(np.concatenate([np.arange(len(y)) * (len(ys[0]) / max(1, len(y))) for y in ys]), kind="stable")
@@ -281,7 +287,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _keep(batches: Iterator[pa.RecordBatch], model, slope: float, offset: float, text: int) -> Iterator[pa.RecordBatch]:
     net, lexicon = model.value
     for batch in batches:
-        for first, texts in slices(batch.column(text), 2 << 20):
+        for first, texts in slices(batch.column(text), SLICE):
             margins = np.clip(text_margins(texts, net, lexicon), -1e9, 12)
             value = np.where(margins > -1e9, 1 / (1 + np.exp(-(slope * np.maximum(-12, margins) + offset))), 0)
             yield batch.slice(first, len(texts)).filter(pa.array(value < CUT))
