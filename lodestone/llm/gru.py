@@ -1,4 +1,4 @@
-"""A bidirectional gated recurrent network with attention pooling, in numpy: forward pass, gradients and fitting."""
+"""A bidirectional gated recurrent network with attention pooling, in numpy: forward pass and gradients."""
 
 from __future__ import annotations
 
@@ -20,6 +20,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def row_sums(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by number."""
+    return np.stack([np.bincount(rows, values[:, i], minlength=count) for i in range(values.shape[1])], axis=1).astype(values.dtype)
+
+
 def _direction(p: dict, side: str, gate: np.ndarray, places: np.ndarray, keep: list | None) -> np.ndarray:
     """Hidden states (T, B, H); ``gate`` holds input projections by row number, ``places`` (B, T) the row numbers."""
     many, steps = places.shape
@@ -54,12 +59,13 @@ def logits(p: dict, table: np.ndarray, places: np.ndarray, real: np.ndarray, kee
     return pooled @ p["o"] + p["k"][0]
 
 
-def gradients(p: dict, table: np.ndarray, places: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+def gradients(p: dict, table: np.ndarray, places: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """Mean log loss, its gradients by the weights, and those by the rows of ``table``."""
     keep: dict = {}
     margin = logits(p, table, places, real, keep)
     prob = _sigmoid(margin)
     loss = float(-(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)).mean())
-    d = ((prob - y) / len(y)).astype(np.float32)
+    d = ((prob - y) / len(y)).astype(table.dtype)
     h, alpha, g = keep["h"], keep["alpha"], {}
     g["o"], g["k"] = keep["pooled"].T @ d, np.array([d.sum()])
     dp = d[:, None] * p["o"]
@@ -67,38 +73,22 @@ def gradients(p: dict, table: np.ndarray, places: np.ndarray, real: np.ndarray,
     de = alpha * (da - (alpha * da).sum(axis=0))
     g["a"] = (de[:, :, None] * h).sum(axis=(0, 1))
     dh_all = alpha[:, :, None] * dp + de[:, :, None] * p["a"]
+    rows, dtable = places.T.ravel(), np.zeros_like(table)
     for i, side in enumerate("fb"):
-        w, u = np.zeros_like(p[f"w{side}"]), np.zeros_like(p[f"u{side}"])
-        dsum, csum = np.zeros(3 * HIDDEN, np.float32), np.zeros(3 * HIDDEN, np.float32)
+        u, csum = np.zeros_like(p[f"u{side}"]), np.zeros(3 * HIDDEN, np.float32)
+        gates = np.empty((*places.T.shape, 3 * HIDDEN), table.dtype)
         carry = np.zeros((len(y), HIDDEN), np.float32)
         for t, before, r, z, n, ghn in reversed(keep[side]):
             dh = carry + dh_all[t, :, i * HIDDEN : (i + 1) * HIDDEN]
             dan = dh * (1 - z) * (1 - n * n)
-            dgx = np.concatenate([dan * ghn * r * (1 - r), dh * (before - n) * z * (1 - z), dan], axis=1)
+            dgx = gates[t]
+            dgx[:, :HIDDEN], dgx[:, HIDDEN : 2 * HIDDEN], dgx[:, 2 * HIDDEN :] = dan * ghn * r * (1 - r), dh * (before - n) * z * (1 - z), dan
             dgh = dgx.copy()
             dgh[:, 2 * HIDDEN :] *= r
-            w += table[places[:, t]].T @ dgx
             u += before.T @ dgh
-            dsum += dgx.sum(axis=0)
             csum += dgh.sum(axis=0)
             carry = dh * z + dgh @ p[f"u{side}"].T
-        g |= {f"w{side}": w, f"u{side}": u, f"d{side}": dsum, f"c{side}": csum}
-    return loss, g
-
-
-def fit(table: np.ndarray, places: np.ndarray, real: np.ndarray, y: np.ndarray, epochs: int, batch: int = 256, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
-    """Adam on the mean log loss."""
-    p = start(table.shape[1], seed)
-    one, two, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    rng = np.random.Generator(np.random.PCG64(seed))
-    for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            _, g = gradients(p, table, places[rows], real[rows], y[rows])
-            step += 1
-            for k in p:
-                one[k] = 0.9 * one[k] + 0.1 * g[k]
-                two[k] = 0.99 * two[k] + 0.01 * g[k] ** 2
-                p[k] = (p[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return p
+        summed = row_sums(rows, gates.reshape(-1, 3 * HIDDEN), len(table))
+        dtable += summed @ p[f"w{side}"].T
+        g |= {f"w{side}": table.T @ summed, f"u{side}": u, f"d{side}": summed.sum(axis=0), f"c{side}": csum}
+    return loss, g, dtable
