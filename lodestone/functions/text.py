@@ -266,20 +266,32 @@ def canonical_json(values: pd.Series) -> pd.Series:
     return values.map(lambda x: json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":")), na_action="ignore")
 
 
+def strip(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.  Parsing alone passes over what follows a first value, so the
+    text is read as the one element of an array."""
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(whole.isNotNull() & F.try_variant_get(whole, "$[0]", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), F.lit(False))
+
+
 def parse_json_output(raw: Column) -> Column:
     """X-22: the JSON object in a model's answer: thinking and fences go, else first to last brace; null if broken."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*", ""))
-    plain = F.when(plain.startswith("```"), F.regexp_replace(F.regexp_replace(plain, r"^```[^\n]*\n", ""), r"\n?```\s*$", "")).otherwise(plain)
+    plain = strip(F.regexp_replace(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*", ""))
+    plain = F.when(plain.startswith("```"), strip(F.regexp_replace(F.regexp_replace(plain, r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))).otherwise(plain)
     braces = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-    is_object = lambda x: F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{")
+    is_object = lambda x: x.startswith("{") & is_json(x)
     return F.when(is_object(plain), plain).when(is_object(braces), braces)
 
 
 def parse_json_answer(raw: Column) -> Column:
     """X-23: as X-22, arrays too."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(raw, r"^\s*```(?:json)?", ""), r"```\s*$", ""))
+    plain = strip(F.regexp_replace(F.regexp_replace(raw, r"^\s*```(?:json)?", ""), r"```\s*$", ""))
     cut = F.when(plain.contains("{"), F.regexp_extract(plain, r"(?s)(\{.*\})", 1)).otherwise(F.regexp_extract(plain, r"(?s)(\[.*\])", 1))
-    return F.when(F.try_parse_json(plain).isNotNull(), plain).when(F.try_parse_json(cut).isNotNull(), cut)
+    return F.when(is_json(plain), plain).when(is_json(cut), cut)
 
 
 def safe_file_name(name: Column, longest: int = 240) -> Column:

@@ -457,3 +457,6 @@ def replay_attempts(spark, d):
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def region_units(spark, d):
     return C.read(spark, d, "nation").join(C.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+from . import content  # noqa: E402, F401
