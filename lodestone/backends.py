@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators.flow import within_budget
+from .operators.flow import running_before
 
 
 class Backend(ABC):
@@ -48,7 +48,7 @@ def called(requests: DataFrame, make) -> DataFrame:
                     out.append((key, None, 0, str(problem)))
             yield pd.DataFrame(out, columns=["request_id", "answer", "total_tokens", "error"])
 
-    return requests.select("request_id", "messages").mapInPandas(run, "request_id string, answer string, total_tokens long, error string")
+    return requests.select(F.col("request_id").cast("string").alias("request_id"), "messages").mapInPandas(run, "request_id string, answer string, total_tokens long, error string")
 
 
 def replayed(requests: DataFrame, replay: DataFrame) -> DataFrame:
@@ -58,9 +58,10 @@ def replayed(requests: DataFrame, replay: DataFrame) -> DataFrame:
 
 
 def budgeted(requests: DataFrame, calls: int, tokens: float) -> DataFrame:
-    """P-03, T-06: requests that start within both budgets, in order."""
-    rows = requests.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
-    return within_budget(within_budget(rows, ["_all"], ["seq"], "_one", calls).drop("spent_before"), ["_all"], ["seq"], "total_tokens", tokens).drop("_one", "_all")
+    """P-03, T-06: requests that start within both budgets, in order: the first ``calls`` of all (a bounded list), while
+    the tokens used before are within theirs."""
+    first = requests.orderBy("seq").limit(calls)
+    return running_before(first, "seq", "total_tokens", "spent_before").where(F.col("spent_before") < tokens).drop("spent_before")
 
 
 def searched(queries: DataFrame, cache: DataFrame, most: int) -> DataFrame:

@@ -11,18 +11,38 @@ from .operators import candidates, relations, scenarios, search
 
 
 class Catalog:
-    """Tables of one database folder: base tables, the six aggregates, ``task1_entities`` and job updates."""
+    """Tables of one database folder: base tables, the six aggregates, ``task1_entities`` and job updates.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark, self.tables = spark, dict(tables)
+    With a ``path``, what changes is written there as a new version, and a version counts once all of it is written; the
+    tables are read again from it, so lineages stay short.  Without one, tables live as long as the object.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None):
+        self.spark, self.tables, self.path = spark, dict(tables), path
         missing = [n for n in relations.AGGREGATES if n not in self.tables]
         if missing and "bids" in self.tables:
             made = relations.refresh_aggregates(self.tables)
             self.tables |= {n: made[n] for n in missing}
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, names: list[str]) -> Catalog:
-        return cls(spark, {n: spark.read.parquet(f"{path}/{n}") for n in names})
+    def open(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> Catalog:
+        """The last version below a path (none: an empty catalog), or plain table folders by name."""
+        if names is not None:
+            return cls(spark, {n: spark.read.parquet(f"{path}/{n}") for n in names})
+        last = max(sinks.versions(spark, path), default=0)
+        if not last:
+            return cls(spark, {}, path)
+        return cls(spark, {n: spark.read.parquet(f"{path}/v{last}/{n}") for n in sinks.folders(spark, f"{path}/v{last}")}, path)
+
+    def _store(self, tables: dict[str, DataFrame]) -> None:
+        """Take tables as they are now; with a path, as its next version.  Aggregates are ordered by their first key, so
+        that a scenario of one buyer or supplier reads few of their files."""
+        if self.path is None:
+            self.tables = tables
+            return
+        ordered = {n: rows.repartitionByRange(rows.columns[0]).sortWithinPartitions(rows.columns[0]) if n in relations.AGGREGATES else rows for n, rows in tables.items()}
+        sinks.write_version(self.spark, ordered, self.path, 1 + max(sinks.versions(self.spark, self.path), default=0))
+        self.tables = type(self).open(self.spark, self.path).tables
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -34,7 +54,7 @@ class Catalog:
         """Items of notices in place of what is stored of those notices."""
         rows = search.imported(notices)
         old = self.tables.get("task1_entities")
-        self.tables["task1_entities"] = rows if old is None else relations.upsert(old, rows, "notice_id")
+        self._store(self.tables | {"task1_entities": rows if old is None else relations.upsert(old, rows, "notice_id")})
         return self.tables["task1_entities"]
 
     def items(self, page: int = 1, page_size: int = 20, **facets: str) -> tuple[DataFrame, DataFrame]:
@@ -52,9 +72,10 @@ class Catalog:
         return sinks.write_xlsx_file(search.export(self["task1_entities"], **facets), path)
 
     def ingest_projects(self, trees: DataFrame) -> DataFrame:
-        """Store project trees; returns the notices set aside."""
+        """Store project trees in place of what is stored of their notices; returns the notices set aside."""
         made, quarantine = relations.ingest(trees)
-        self.tables |= made | relations.refresh_aggregates(made)
+        whole = relations.merged(self.tables, made)
+        self._store(self.tables | whole | relations.refresh_aggregates(whole))
         return quarantine
 
     def projects(self, query: str = "", limit: int = 50) -> DataFrame:

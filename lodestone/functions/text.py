@@ -341,6 +341,11 @@ def short_title(text: Column, longest: int = 40) -> Column:
     return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest - 1), F.lit("…"))).otherwise(text)
 
 
+def label(value: Column, labels: dict[str, str]) -> Column:
+    """X-32: the label of a value, or the value where it has none."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), value), value)
+
+
 def cost(tokens: Column, price_per_million: float) -> Column:
     """X-33."""
     return tokens.cast("double") / 1_000_000 * price_per_million

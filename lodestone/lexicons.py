@@ -85,3 +85,7 @@ ALIAS_LEAST = 0.88
 DEFAULT_PACKAGE = "默认包"
 # Admission of crawled notices.
 RESULT_URL, EXCLUDED_TITLES = "/cggg/", "废标|流标|终止|更正|澄清|延期"
+# Labels of jobs.
+JOB_KINDS = {"task1": "任务一", "task2": "任务二"}
+JOB_STATES = {"queued": "排队中", "running": "处理中", "completed": "已完成", "failed": "失败", "staged": "已接收"}
+JOB_STAGES = {"upload": "接收文件", "validate": "校验文件", "parse": "解析 Blocks", "select": "筛选证据", "slotpack": "打包槽位", "extract": "模型抽取", "persist": "写入库", "ingest": "导入结果", "done": "完成", "error": "异常", "retry": "重试"}

@@ -211,11 +211,12 @@ def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """A-27: nearest-rank 95th percentile and upper median."""
-    return rows.groupBy(*keys).agg(
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"),
-        F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int")).alias("median_upper"),
-    )
+    """A-27: nearest-rank 95th percentile and upper median, from counts of values by key; no list of values is made."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*keys).orderBy("_v")
+    ranked = counts.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    first = lambda least: F.min(F.when(F.col("_upto") >= least, F.col("_v")))
+    return ranked.groupBy(*keys).agg(first(F.ceil(F.col("_n") * 95 / 100)).alias("p95"), first(F.floor(F.col("_n") / 2) + 1).alias("median_upper"))
 
 
 def watermark_stats(rows: DataFrame, top: int = 20) -> DataFrame:
@@ -262,6 +263,39 @@ def dataset_audit(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("notice_id", F.explode(found).alias("problem"))
 
 
+def dataset_verification(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """R-03: the seven problems of a stored dataset: (notice_id, problem, detail).
+
+    ``manifest``: notice_id, url, html_size, html_error, html_title, zip_error, zip_bad_member, attachments array<string>;
+    ``files``: notice_id, file_name, size.  A notice without a page is not looked at further.
+    """
+    rows = manifest.withColumn("_html", F.coalesce("html_size", F.lit(0)) > 0)
+    no_title = F.coalesce(F.trim("html_title"), F.lit("")) == ""
+    checks = [
+        ("html_missing_or_empty", ~F.col("_html"), F.lit("")),
+        ("html_parse_error", F.col("_html") & F.col("html_error").isNotNull(), F.col("html_error")),
+        ("html_no_title", F.col("_html") & no_title, F.lit("")),
+        ("url_notice_id_mismatch", F.col("_html") & ~F.coalesce("url", F.lit("")).contains(F.col("notice_id")), F.coalesce("url", F.lit(""))),
+        ("zip_crc_error", F.col("_html") & F.col("zip_bad_member").isNotNull(), F.col("zip_bad_member")),
+        ("zip_open_error", F.col("_html") & F.col("zip_error").isNotNull(), F.col("zip_error")),
+    ]
+    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("problem"), detail.cast("string").alias("detail"))) for name, test, detail in checks]), lambda x: x.isNotNull())
+    own = rows.select("notice_id", F.explode(found).alias("p")).select("notice_id", "p.problem", "p.detail")
+    named = rows.where("_html").select("notice_id", F.explode("attachments").alias("file_name")).where("file_name <> ''")
+    lost = named.join(files.where("size > 0").select("notice_id", "file_name"), ["notice_id", "file_name"], "left_anti")
+    return own.union(lost.select("notice_id", F.lit("attachment_file_missing"), "file_name"))
+
+
+def agent_summary(log: DataFrame) -> DataFrame:
+    """A-22: lines, distinct and repeated requests and summed usage of a state log.
+
+    ``log``: request_id (notice_id where there is none), calls, prompt_tokens, completion_tokens, total_tokens."""
+    kinds = ("calls", "prompt_tokens", "completion_tokens", "total_tokens")
+    each = log.groupBy(F.coalesce("request_id", F.lit("")).alias("request_id")).agg(F.count("*").alias("_n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in kinds])
+    again = F.sum(((F.col("_n") > 1) & (F.col("request_id") != "")).cast("long"))
+    return each.agg(F.sum("_n").alias("record_count"), F.count("*").alias("unique_request_count"), again.alias("repeated_request_count"), *[F.sum(c).cast("long").alias(c) for c in kinds])
+
+
 def error_histogram(rows: DataFrame) -> DataFrame:
     """R-02: errors by their first sixty characters."""
     return rows.groupBy(F.substring("error", 1, 60).alias("error")).agg(F.count("*").alias("n"))
@@ -291,9 +325,12 @@ def paired(pages: DataFrame, archives: DataFrame, target: int | None = None) ->
     right = archives.select(stem(F.col("path")).alias("stem"), F.col("path").alias("archive"))
     rows = left.join(right, "stem", "full_outer")
     whole = F.col("page").isNotNull() & F.col("archive").isNotNull()
-    turn = F.row_number().over(Window.partitionBy(whole).orderBy("stem"))
-    over = F.lit(False) if target is None else turn > target
-    return rows.withColumn("reason", F.when(~whole, "missing_html_or_zip").when(over, "over_target"))
+    over = F.lit(False)
+    if target is not None:
+        # the first ones by stem are a bounded list, found without numbering the rest
+        first = rows.where(whole).orderBy("stem").limit(target).select("stem", F.lit(True).alias("_first"))
+        rows, over = rows.join(first, "stem", "left"), F.col("_first").isNull()
+    return rows.withColumn("reason", F.when(~whole, "missing_html_or_zip").when(over, "over_target")).drop("_first")
 
 
 def packaging_report(rows: DataFrame) -> DataFrame:

@@ -80,8 +80,16 @@ def slices_of(rows: DataFrame, group: list[str], order: list, size: int) -> Data
 
 
 def round_robin(rows: DataFrame, bucket: str, order: list) -> DataFrame:
-    """W-10: first of each bucket, second of each bucket, and so on; ``place`` is the turn within the bucket."""
-    return numbered(rows, [bucket], order, "place")
+    """W-10: first of each bucket, second of each bucket, and so on: ``place`` is the turn within the bucket, ``position``
+    the place in the interleaved order.
+
+    Before row p of a bucket stand min(size, p - 1) rows of each bucket and the p-th ones of buckets ahead, so positions
+    follow from the buckets' sizes (one row a bucket) and no task sees all rows.
+    """
+    sizes = rows.groupBy(bucket).agg(F.count("*").alias("_size")).agg(F.sort_array(F.collect_list(F.struct(F.col(bucket).alias("b"), "_size"))).alias("_sizes"))
+    placed = numbered(rows, [bucket], order, "place").withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
+    ahead = F.transform("_sizes", lambda x: F.least(x["_size"], F.col("place") - 1) + ((x["b"] < F.col(bucket)) & (x["_size"] >= F.col("place"))).cast("long"))
+    return placed.withColumn("position", F.aggregate(ahead, F.lit(1).cast("long"), lambda a, x: a + x)).drop("_one", "_sizes")
 
 
 def first_groups(rows: DataFrame, group: str, pos: str, n: int) -> DataFrame:
@@ -149,6 +157,28 @@ def within_budget(rows: DataFrame, group: list[str], order: list, cost: str, lim
     return rows.withColumn("spent_before", before).where(F.col("spent_before") < limit)
 
 
+def pruned(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M-09: lines of a state log that stay (both outcomes ok), and the notices to try again."""
+    good = F.coalesce((F.col("status") == "ok") & (F.col("llm_status") == "ok"), F.lit(False))
+    return state.where(good), state.where(~good).select("notice_id").distinct()
+
+
+def running_before(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each, in one order over the whole table: sums by range partition first, then
+    within each, so that no task sees all rows."""
+    spark = rows.sparkSession
+    dealt = kept(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sums = {r["_part"]: r["_s"] for r in dealt.groupBy("_part").agg(F.sum(value).alias("_s")).collect()}  # one row a partition
+    base, total = [], 0
+    for part in sorted(sums):
+        base.append((part, str(total)))
+        total = total + (sums[part] or 0)
+    kind = dict(dealt.groupBy().agg(F.sum(value).alias("s")).dtypes)["s"]
+    offsets = spark.createDataFrame(base, "_part int, _base string").withColumn("_base", F.col("_base").cast(kind))
+    past = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(past), F.lit(0))).drop("_part", "_base")
+
+
 def changes(rows: DataFrame, key: str, order: list, value: str) -> DataFrame:
     """T-01: rows whose value differs from the one before (the first is a change)."""
     past = F.lag(value).over(Window.partitionBy(key).orderBy(*order))

@@ -160,12 +160,22 @@ def alias_candidates(orgs: DataFrame, least: float = L.ALIAS_LEAST, gram: int =
     return found.select(X.stable_id("alias", left, right).alias("review_id"), left.alias("left_org_id"), right.alias("right_org_id"), "similarity").dropDuplicates(["review_id"])
 
 
+#: What else is known of a bid, with its type; trees that lack one give null, evidence an empty list.
+BID_FACTS = {"quote_value": "double", "quote_unit": "string", "quote_text": "string", "qualification": "string", "compliance": "string", "evidence_json": "string"}
+
+
+def _facts(bids: DataFrame) -> list[Column]:
+    held = bids.schema["b"].dataType.fieldNames()
+    out = {c: (F.col(f"b.{c}") if c in held else F.lit(None)).cast(kind) for c, kind in BID_FACTS.items()}
+    return [(F.coalesce(v, F.lit("[]")) if c == "evidence_json" else v).alias(c) for c, v in out.items()]
+
+
 def ingest(trees: DataFrame) -> tuple[Tables, DataFrame]:
     """M-01: project trees to the nine tables; trees with duplicates inside are set aside (second result).
 
     ``trees``: seq long, notice_id, title, project_no, procurement_method, publish_date, source_url,
     procurement_unit / agency struct<name, org_type>, packages array<struct<package_no, name, bidders array<struct<org
-    struct<name, org_type>, amount_yuan, score, rank, result>>, products array<struct<name, category_code, brand,
+    struct<name, org_type>, amount_yuan, score, rank, result, and what :data:`BID_FACTS` names>>, products array<struct<name, category_code, brand,
     spec_model, supplier struct<name, org_type>>>>>.  The last tree of a notice counts.
     """
     last = trees.withColumn("_turn", F.row_number().over(Window.partitionBy("notice_id").orderBy(F.desc("seq")))).where("_turn = 1").drop("_turn")
@@ -191,14 +201,14 @@ def ingest(trees: DataFrame) -> tuple[Tables, DataFrame]:
     goods = goods.withColumn("supplier_org_id", F.when(F.col("g.supplier").isNotNull(), org(F.col("g.supplier.name"))))
     goods = goods.withColumn("product_id", X.stable_id("prd", F.col("g.name"), F.col("g.category_code"), F.col("g.brand"), F.col("g.spec_model"), F.col("supplier_org_id")))
     tables = {
-        "organizations": organizations.select("org_id", "name", "name_norm", "org_type"),
+        "organizations": organizations.select("org_id", "name", "name_norm", "org_type", "first_seq"),
         "projects": last.select("project_id", "notice_id", "title", "project_no", "procurement_method", "publish_date", "source_url"),
         "project_units": last.where("procurement_unit is not null").select("project_id", org(F.col("procurement_unit.name")).alias("org_id"), F.lit(L.UNIT_ROLE).alias("role")).union(
             last.where("agency is not null").select("project_id", org(F.col("agency.name")), F.lit(L.AGENCY_ROLE))
         ),
         "packages": packages.select("package_id", "project_id", "package_no", "name"),
         "bids": bids.withColumn("org_id", X.stable_id("org", F.col("name_norm"))).select(
-            X.stable_id("bid", F.col("package_id"), F.col("org_id")).alias("bid_id"), "package_id", "org_id", F.col("b.amount_yuan").cast("decimal(20,4)").alias("amount_yuan"), "b.score", "b.rank", "b.result"
+            X.stable_id("bid", F.col("package_id"), F.col("org_id")).alias("bid_id"), "package_id", "org_id", F.col("b.amount_yuan").cast("decimal(20,4)").alias("amount_yuan"), "b.score", "b.rank", "b.result", *_facts(bids)
         ),
         "products": goods.select("product_id", "g.name", "g.category_code", "g.brand", "g.spec_model", "supplier_org_id").dropDuplicates(["product_id"]),
         "package_products": goods.select("package_id", "product_id").distinct(),
@@ -213,6 +223,37 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def merged(stored: Tables, made: Tables) -> Tables:
+    """M-01, SNK-06: stored tables with ingested ones.  What is stored of the ingested notices goes, from projects down
+    to bids and products that no package has any more; organizations are never deleted, keep their first spelling and
+    take the higher type; similar names are looked for among old and new ones.
+    """
+    if not stored.get("projects"):
+        return dict(made)
+    stored = {n: rows for n, rows in stored.items() if n in made}
+    gone = made["projects"].select("project_id").distinct()
+    lost = stored["packages"].join(gone, "project_id", "left_semi").select("package_id")
+    out = {}
+    for name, key, dead in (("projects", "project_id", gone), ("project_units", "project_id", gone), ("packages", "project_id", gone), ("bids", "package_id", lost), ("package_products", "package_id", lost)):
+        kept = stored[name].join(dead, key, "left_anti") if name in stored else None
+        out[name] = made[name] if kept is None else kept.unionByName(made[name], allowMissingColumns=True)
+    goods = stored["products"].withColumn("_new", F.lit(0)).unionByName(made["products"].withColumn("_new", F.lit(1)), allowMissingColumns=True) if "products" in stored else made["products"].withColumn("_new", F.lit(1))
+    out["products"] = first_wins(goods, ["product_id"], "_new").drop("_new").join(out["package_products"].select("product_id"), "product_id", "left_semi")
+    old, new = stored["organizations"], made["organizations"]
+    old = old if "first_seq" in old.columns else old.withColumn("first_seq", F.lit(0).cast("long"))
+    last = old.agg(F.coalesce(F.max("first_seq"), F.lit(0)).alias("_last"))
+    # one row is broadcast: new names are seen after all stored ones
+    new = new.join(F.broadcast(last.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).withColumn("first_seq", F.col("_last") + 1 + F.col("first_seq")).drop("_last", "_k")
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in L.ORG_PRIORITY.items() for x in item]), F.col("org_type")), F.lit(0))
+    out["organizations"] = both.groupBy("org_id").agg(F.min_by("name", "_new").alias("name"), F.min_by("name_norm", "_new").alias("name_norm"), F.max_by("org_type", F.struct(priority, -F.col("_new"))).alias("org_type"), F.min("first_seq").alias("first_seq"))
+    out["org_aliases"] = stored.get("org_aliases", made["org_aliases"])
+    queue = alias_candidates(out["organizations"])
+    held = stored.get("alias_review_queue")
+    out["alias_review_queue"] = queue if held is None else held.unionByName(queue.join(held.select("review_id"), "review_id", "left_anti"), allowMissingColumns=True)
+    return out
+
+
 def migrate(bids: DataFrame) -> DataFrame:
     """M-05: add the columns that older bids lack."""
     more = {"quote_value": "double", "quote_unit": "string", "quote_text": "string", "evidence_json": "string"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
@@ -92,7 +92,8 @@ def joint_projects(t: Tables, supplier_ids: list) -> DataFrame:
 
 def graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     """G-01: nodes and edges of every project.  A node's last mention gives its type, as units, packages, bids and
-    products are read in that order; filter on project_id for one project (an unknown id gives an empty graph)."""
+    products are read in that order; filter on project_id for one project (an unknown id gives an empty graph).  Edges of
+    bids carry amount, quote, score and rank, as far as the bids have them."""
     orgs = t["organizations"].select("org_id", "name")
     units_named = t.get("units", t["organizations"]).select("org_id", "name")
     prj = t["projects"].select("project_id", F.col("title").alias("name"))
@@ -109,11 +110,16 @@ def graph(t: Tables) -> tuple[DataFrame, DataFrame]:
         node(packages, "package_id", "name", F.lit("包件"), place("2", "package_id")),
         node(bids, "org_id", "name", kind, place("2", "package_id", "org_id")),
     ]
-    edge = lambda rows, source, target, label, money=F.lit(None): rows.select(text("project_id").alias("project_id"), text(source).alias("source"), text(target).alias("target"), label.alias("type"), money.cast("double").alias("amount_yuan"))
+    known = {"amount_yuan": "double", "quote_value": "double", "quote_unit": "string", "quote_text": "string", "score": "double", "rank": "int"}
+
+    def edge(rows: DataFrame, source: str, target: str, label: Column, facts: bool = False) -> DataFrame:
+        more = [(F.col(c) if facts and c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in known.items()]
+        return rows.select(text("project_id").alias("project_id"), text(source).alias("source"), text(target).alias("target"), label.alias("type"), *more)
+
     edges = [
         edge(units.withColumn("p", F.col("project_id")), "p", "org_id", F.col("role")),
         edge(packages.withColumn("p", F.col("project_id")), "p", "package_id", F.lit("包含包件")),
-        edge(bids, "org_id", "package_id", F.col("result"), F.col("amount_yuan")),
+        edge(bids, "org_id", "package_id", F.col("result"), facts=True),
     ]
     if "package_products" in t:
         goods = t["package_products"].join(packages.select("package_id", "project_id"), "package_id").join(t["products"], "product_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as X
-from ..operators import evaluation, extraction, flow, relations, scenarios, search
+from ..operators import evaluation, extraction, flow, relations, scenarios, search, selection
 from ..sources import readers
 from ..streaming import feeds
 from . import carriers as C
@@ -117,10 +117,10 @@ def projects_search(spark, d):
 ENTITIES = "e AS (SELECT l_orderkey AS notice_id, l_linenumber::BIGINT AS item_no, p_name AS product_service_name, p_type AS category_name, NULL::VARCHAR AS category_code, p_brand AS brand_supplier, p_retailprice::DECIMAL(18,2) AS unit_price, l_quantity::DECIMAL(18,2) AS quantity, l_extendedprice::DECIMAL(18,2) AS total_price FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-@query(f"WITH {ENTITIES} SELECT notice_id, product_service_name, brand_supplier, count(*) AS n FROM e WHERE product_service_name LIKE '%ring%' AND brand_supplier LIKE '%#1%' GROUP BY ALL ORDER BY notice_id, product_service_name, brand_supplier LIMIT 20 OFFSET 20")
+@query(f"WITH {ENTITIES}, u AS (SELECT notice_id, row_number() OVER (PARTITION BY notice_id ORDER BY item_no, product_service_name, brand_supplier, total_price) AS item_no, product_service_name, brand_supplier FROM e) SELECT * FROM u WHERE product_service_name LIKE '%ring%' AND brand_supplier LIKE '%#1%' ORDER BY notice_id, item_no LIMIT 20 OFFSET 20")
 def entity_page(spark, d):
-    rows = search.where(C.entities(spark, d), product="RING", brand="#1").groupBy("notice_id", "product_service_name", "brand_supplier").agg(F.count("*").alias("n"))
-    return rows.orderBy("notice_id", "product_service_name", "brand_supplier").offset(20).limit(20)
+    rows = flow.numbered(C.entities(spark, d).withColumnRenamed("item_no", "line"), ["notice_id"], ["line", "product_service_name", "brand_supplier", "total_price"], "item_no")
+    return search.page(rows, 2, 20, product="RING", brand="#1")[0].select("notice_id", F.col("item_no").cast("long").alias("item_no"), "product_service_name", "brand_supplier")
 
 
 @query(f"WITH {ENTITIES} SELECT count(*) AS total FROM e WHERE concat_ws(' ', product_service_name, category_name, brand_supplier) ILIKE '%widget%brand#1%'")
@@ -206,7 +206,7 @@ def context_window(spark, d):
     return flow.context(rows).select(F.col("notice_id").alias("user_id"), "pos", "event_type")
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents")
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) SELECT *, row_number() OVER (ORDER BY place, source) AS position FROM r")
 def round_robin(spark, d):
     return flow.round_robin(C.read(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
@@ -222,15 +222,14 @@ def row_chunks(spark, d):
     return flow.slices_of(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], 40).drop("l_suppkey", "l_extendedprice")
 
 
-@query("WITH s AS (SELECT l_orderkey, l_suppkey, max(l_quantity) AS top, arg_min(l_linenumber, struct_pack(a := -l_quantity, b := l_linenumber)) AS pos FROM lineitem WHERE l_quantity >= 22 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY top DESC, pos, l_suppkey) AS n FROM s) SELECT l.l_orderkey, l.l_suppkey, l.l_linenumber, l.l_quantity FROM lineitem l JOIN r ON l.l_orderkey = r.l_orderkey AND l.l_suppkey = r.l_suppkey WHERE n <= 2 AND l.l_quantity >= 22")
+@query("""WITH n AS (SELECT l_orderkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem), a AS (SELECT * FROM n WHERE l_quantity >= 22),
+t AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_quantity) DESC, min(pos) FILTER (l_quantity = m)) AS place FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey, l_suppkey) AS m FROM a) GROUP BY 1, 2)
+SELECT a.l_orderkey, a.l_suppkey, a.l_quantity, a.pos::BIGINT AS pos FROM a JOIN t USING (l_orderkey, l_suppkey) WHERE place <= 2""")
 def source_cap(spark, d):
-    from pyspark.sql import Window
-
-    rows = C.read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity").where("l_quantity >= 22")
-    tops = rows.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_quantity").alias("top"), F.min_by("l_linenumber", F.struct(-F.col("l_quantity"), F.col("l_linenumber"))).alias("pos"))
-    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("top"), "pos", "l_suppkey"))
-    best = tops.withColumn("n", turn).where("n <= 2").select("l_orderkey", "l_suppkey")
-    return rows.join(best, ["l_orderkey", "l_suppkey"], "left_semi")
+    rows = C.read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    rows = flow.numbered(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "pos")
+    best = flow.best_sources(rows, "l_orderkey", ["l_suppkey"], "l_quantity", "pos", 22, 2)
+    return best.select("l_orderkey", "l_suppkey", "l_quantity", F.col("pos").cast("long").alias("pos"))
 
 
 @query("WITH r AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS high, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) SELECT event_id, user_id, value, false AS fallback FROM r WHERE value >= 200 UNION ALL SELECT event_id, user_id, value, true FROM r WHERE high < 200 AND value >= 10 AND n <= 5")
@@ -358,7 +357,7 @@ EDGES = """edges AS (
 
 @query(with_(f"{EDGES} SELECT * FROM edges"))
 def graph_edges(spark, d):
-    return scenarios.graph(C.tables(spark, d))[1]
+    return scenarios.graph(C.tables(spark, d))[1].select("project_id", "source", "target", "type", "amount_yuan")
 
 
 @query(with_(f"{EDGES} SELECT project_id, id, count(*) AS degree FROM (SELECT project_id, source AS id FROM edges UNION ALL SELECT project_id, target FROM edges) GROUP BY 1, 2"))
@@ -373,11 +372,11 @@ def dense_collapse(spark, d):
     return scenarios.collapse_dense(rows, 3)
 
 
-@query("WITH t AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', '', 'g')) AS c FROM documents), f AS (SELECT doc_id, row_number() OVER (PARTITION BY sha256(c) ORDER BY doc_id) AS n FROM t) SELECT doc_id FROM f WHERE n = 1")
+@query("WITH t AS (SELECT doc_id, lower(translate(regexp_replace(text, '[\\s\\p{Z}\\x0b]+', '', 'g'), '（）', '()')) AS c FROM documents), f AS (SELECT doc_id, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM t) SELECT doc_id FROM f WHERE n = 1")
 def evidence_dedup(spark, d):
     rows = C.read(spark, d, "documents").select("doc_id", "text")
-    plain = F.lower(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", ""))
-    return relations.first_wins(rows.select("doc_id", F.sha2(plain.cast("binary"), 256).alias("fingerprint")), ["fingerprint"], "doc_id").select("doc_id")
+    said = selection.fingerprint(F.lit("text"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<array<string>>"), F.array("text"))
+    return relations.first_wins(rows.select("doc_id", said.alias("fingerprint")), ["fingerprint"], "doc_id").select("doc_id")
 
 
 @query("SELECT p_partkey, 'prd_' || substr(sha256(p_name || chr(31) || p_brand || chr(31) || '' || chr(31) || nullif(p_size, 0)::VARCHAR), 1, 20) AS product_id FROM part")
@@ -459,4 +458,4 @@ def region_units(spark, d):
     return C.read(spark, d, "nation").join(C.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
-from . import content  # noqa: E402, F401
+from . import content, records  # noqa: E402, F401

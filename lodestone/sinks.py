@@ -6,7 +6,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.search import EXPORT
@@ -22,6 +22,31 @@ def overwrite_keys(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names below a path, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions below a path that are whole."""
+    return [int(n.removeprefix("done-")) for n in _listed(spark, path) if n.startswith("done-")]
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in _listed(spark, path) if not n.startswith(("_", "."))]
+
+
+def write_version(spark: SparkSession, tables: dict[str, DataFrame], path: str, number: int) -> None:
+    """SNK-01, SNK-05, SNK-06: write tables as one version; it counts once its mark is there, whatever fails before."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/v{number}/{name}")
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/done-{number}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
 def _streamed(rows: DataFrame) -> Iterator[list[str]]:
     for row in rows.toLocalIterator(prefetchPartitions=True):
         yield ["" if v is None else str(v) for v in row]
@@ -69,7 +94,7 @@ def write_xlsx_file(rows: DataFrame, path: str, sheet: str = "实体") -> int:
 
 def package_names(files: DataFrame) -> DataFrame:
     """SNK-08: names of an archive's members: the same content once, other content under its name with a number."""
-    turn = F.row_number().over(Window.partitionBy("archive", "name").orderBy("seq"))
+    turn = F.row_number().over(Window.partitionBy("archive", "name").orderBy("seq", "sha256"))
     rows = files.groupBy("archive", "name", "sha256").agg(F.min("seq").alias("seq")).withColumn("_n", turn)
     stem, ending = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
     return rows.withColumn("member", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ending))).drop("_n")
