@@ -5,7 +5,8 @@ Features are hashed text: mean weight of the text's words and of its byte trigra
 at a few distances, and the share of distinct words in steps; a text of any length is scored whole.  Results are the expected grade and the tail probability
 P(grade >= keep_from), by which documents are selected.
 
-Fitting uses at most ``SAMPLE`` rated texts of each grade, a stated bound; hashed counts, not texts, reach the driver.
+Fitting uses at most ``SAMPLE`` rated texts of each grade and ``ENTRIES`` features of all their texts, stated bounds; hashed
+counts, not texts, reach the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import stored, table
 from .words import _VALUE, mix, raw, slices, words
 
 BITS = 16
-SAMPLE = 1_500
+SAMPLE, ENTRIES = 1_500, 12_000_000
 EPOCHS = 24
 BATCH = 128
 RATE = 0.3
@@ -51,7 +52,7 @@ def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Shared score of each text; 0 for texts without words."""
+    """Shared score of each text; nothing to go by (NaN) for texts without words."""
     hashes, _, _, at = words(texts)
     data, offsets = raw(texts)
     n = np.diff(at)
@@ -65,7 +66,7 @@ def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
         same = (hashes[lag:] == hashes[:-lag]) & (owner[lag:] == owner[:-lag]) if len(hashes) > lag else np.zeros(0, bool)
         again += weights[_LAG + i] * np.bincount(owner[lag:][same], minlength=len(texts)) / np.maximum(1, n)
     distinct = np.array([_step(hashes[i:j]) for i, j in zip(at[:-1], at[1:])], dtype=np.int64)
-    return np.where(n > 0, word + chars + again + weights[_STEP + distinct], 0.0)
+    return np.where(n > 0, word + chars + again + weights[_STEP + distinct], np.nan)
 
 
 def _step(hashes: np.ndarray) -> int:
@@ -76,7 +77,7 @@ def _step(hashes: np.ndarray) -> int:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, grade) to (slots, values, grade): the same features as in ``scores``, one entry a slot."""
+    """Rows (text, grade, id) to (slots, values, grade, id): the same features as in ``scores``, one entry a slot."""
     for batch in batches:
         slots, values = [], []
         for row in range(batch.num_rows):
@@ -89,7 +90,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lags = [(hashes[x:] == hashes[:-x]).sum() / max(1, len(hashes)) for x in LAGS]
             slots.append(np.concatenate([one, two + _TRIGRAM, _LAG + np.arange(len(LAGS)), [_STEP + _step(hashes)]]).astype(np.int32))
             values.append(np.concatenate([many / max(1, len(word)), more / max(1, len(tri)), lags, [1.0]]).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), batch.column(1)], names=["slots", "values", "grade"])
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["slots", "values", "grade", "id"])
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -133,15 +134,19 @@ def fit(slots: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, gr
 def _rate(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(scores(texts, weights.value))], names=["doc_id", "s"])
+            s = scores(texts, weights.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(s, mask=np.isnan(s))], names=["doc_id", "s"])
 
 
 def rate(docs: DataFrame, ratings: DataFrame, keep_from: int = 1, cut: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, expected_grade, tail (P(grade >= keep_from)), kept.
 
     ``ratings`` (doc_id, grade from 0 up): null grades and ids are left out, a doc_id rated twice counts with its lower
-    grade.  Null, empty and wordless texts have nothing to rate: expected_grade 0, tail 0, not kept.  Without ratings of
-    two grades nothing can be told: tail 1 and kept for every text with words.  Repeated rows are rated each.
+    grade; of rated rows with one doc_id, the least text is fitted.  Null, empty and wordless texts have nothing to rate:
+    expected_grade 0, tail 0, not kept.  Texts of any length are rated whole; texts whose words were never seen are rated
+    by the rest of their features.  Without ratings of two grades nothing can be told: tail 1 and kept for every text with
+    words.  Repeated rows are rated each, equal texts alike.  Other columns, whatever their names, are not looked at.  An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = ratings.where("doc_id is not null and grade >= 0").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col("grade").cast("int")).alias("grade"))
@@ -157,8 +162,16 @@ def rate(docs: DataFrame, ratings: DataFrame, keep_from: int = 1, cut: float = 0
         picked = part if picked is None else picked.union(part)
     ids = stored(picked, "rated")
     # at most ``sample`` ids a grade are broadcast
-    rows = own.where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "grade").repartition(12)
-    made = rows.mapInArrow(_hashed, "slots array<int>, values array<float>, grade int").toArrow()
+    rows = own.where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("_id", "grade").agg(F.min("text").alias("text"))
+    hashed = rows.select("text", "grade", "_id").repartition(12).mapInArrow(_hashed, "slots array<int>, values array<float>, grade int, id long")
+    hashed = stored(hashed, "features")
+    # the first of them, in a mixed order, whose features fit the bound; ids and counts of the bounded sample come to the driver
+    sizes = sorted((x["_h"], x["id"], x["n"]) for x in hashed.select("id", F.size("slots").alias("n"), F.xxhash64("id", F.lit(43)).alias("_h")).collect())
+    many = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), ENTRIES, "right"))
+    if many < len(sizes):
+        last = sizes[max(0, many - 1)][0]
+        hashed = hashed.where(F.xxhash64("id", F.lit(43)) <= last)
+    made = hashed.orderBy("id").toArrow()
     y = made.column("grade").to_numpy().astype(np.int64)
 
     def parts(name: str) -> list[np.ndarray]:
@@ -178,7 +191,7 @@ def rate(docs: DataFrame, ratings: DataFrame, keep_from: int = 1, cut: float = 0
     shared = spark.sparkContext.broadcast(weights)
     rated = own.mapInArrow(partial(_rate, weights=shared), "doc_id long, s double")
     tails = [1 / (1 + F.exp(F.lit(float(c)) - F.col("s"))) for c in cuts]
-    empty = F.col("s") == 0
+    empty = F.col("s").isNull()
     expected = sum(tails[1:], tails[0])
     tail = tails[keep_from - 1] if 0 < keep_from < grades else F.lit(1.0 if keep_from <= 0 else 0.0)
     out = rated.select("doc_id", F.when(empty, 0.0).otherwise(expected).alias("expected_grade"), F.when(empty, 0.0).otherwise(tail).alias("tail"))
