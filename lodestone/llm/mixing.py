@@ -144,11 +144,16 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document stands as often as it is taken."""
-    own = measured(docs.withColumns({"source": F.col("source").cast("string"), "text": F.col("text").cast("string")}))
+    """The mix itself: each document stands as often as it is taken, with all its columns, whatever their names.
+
+    Null sources are a source of their own; null, empty and wordless texts are not taken; an empty table stays empty.
+    """
+    # documents travel as one struct, so that no column of theirs meets one of the plan
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    own = measured(docs.select(whole, "doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")))
     sizes = stored(own.select("doc_id", "source", "_size", "_class", "_key", "_u"), "sizes")
     out = mixed(own, *mix_plan(sizes)).where("_copies > 0")
-    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 ORACLE = r"""

@@ -49,6 +49,10 @@ def test_mix_edges(make, spark):
     rows = [doc(i, "a b c d", "x") for i in range(30)] + [doc(99, " ".join(["z"] * 300), "y")]
     out = mixing.stage(spark, make(rows), "")
     assert out.columns == make(rows).columns and out.where("source = 'x'").count() > 30
+    names = {"title": "target", "component_id": "source_size", "score": "_size", "lang": "_copies"}
+    again = mixing.stage(spark, make(rows).withColumnsRenamed(names), "")
+    assert again.columns == [names.get(c, c) for c in out.columns] and again.count() == out.count()
+    assert {r["target"] for r in again.collect()} == {"t"}
 
 
 def test_bounds_need_the_least_padding():
