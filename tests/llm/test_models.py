@@ -30,7 +30,13 @@ def test_gradients_are_those_of_the_loss():
     real = np.ones((3, 5), bool)
     real[0, 3:] = False
     y = np.array([0.0, 1, 1])
-    _, g = gru.gradients(p, table, places, real, y)
+    _, g, inner = gru.gradients(p, table, places, real, y)
+    for at in ((int(places[1, 2]), 3), (int(places[0, 4]), 0)):
+        up, down = table.copy(), table.copy()
+        up[at] += 1e-3
+        down[at] -= 1e-3
+        slope = (gru.gradients(p, up, places, real, y)[0] - gru.gradients(p, down, places, real, y)[0]) / 2e-3
+        assert abs(slope - inner[at]) < 1e-3 * max(1, abs(slope))
     for name in p:
         at = tuple(0 for _ in p[name].shape)
         up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
@@ -64,6 +70,16 @@ def test_held_out_texts_are_told_apart_and_labels_of_others_do_not_matter(make,
     assert again == {r.doc_id: round(r.score, 6) for r in got}
 
 
+def test_long_and_equal_texts_are_scored_whole_and_alike(make, spark):
+    rows, labels = labelled(300)
+    rng = random.Random(8)
+    far = [rng.choice("aeiourstln") * 3 for _ in range(30_000)]
+    rows += [doc(9100, " ".join(far)), doc(9101, " ".join([*far, "grumblix", "zorkface"])), doc(9102, rows[4][1]), doc(9102, rows[4][1]), doc(9103, rows[4][1])]
+    got = toxicity.score(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    score = {r.doc_id: r.score for r in got}
+    assert score[9101] > 0.3 > score[9100] and score[9102] == score[9103] == score[4] and len(got) == len(rows)
+
+
 def test_toxicity_without_labels_or_documents(make, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(not r.predicted for r in toxicity.score(make([doc(1, "a b c")]), none).collect())
@@ -86,6 +102,9 @@ def test_ordinal_grades(make, spark):
     means = [np.mean([r.expected_grade for r, g in held if g == k]) for k in range(3)]
     assert means[0] < means[1] < means[2]
     assert not got[900].kept and got[901].expected_grade == 0 and got[None].kept
+    strange = [doc(950, "xqx zvz"), doc(951, " ".join(["great1 fine2"] * 20_000)), doc(952, "fine7"), doc(952, "fine7")]
+    told = quality.rate(make(strange), train.where("doc_id < 0").union(train)).collect()
+    assert len(told) == 4 and all(r.expected_grade > 0 for r in told) and told[2] == told[3]
     assert quality.rate(make([]), train).count() == 0
     alone = quality.rate(make([doc(1, "a"), doc(2, "")]), train.where("grade = 2")).collect()
     assert {r.doc_id: r.kept for r in alone} == {1: True, 2: False}
