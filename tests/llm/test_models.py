@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import gru, quality, toxicity
 from pyspark.sql import functions as F
@@ -108,3 +110,81 @@ def test_ordinal_grades(make, spark):
     assert quality.rate(make([]), train).count() == 0
     alone = quality.rate(make([doc(1, "a"), doc(2, "")]), train.where("grade = 2")).collect()
     assert {r.doc_id: r.kept for r in alone} == {1: True, 2: False}
+
+
+def slow_margin(text, net):
+    """Score of a text word by word and window by window, in plain loops."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+    h = gru.HIDDEN
+    vectors = []
+    for word in words:
+        hashes, starts, ends, _ = toxicity.words(pa.array([word]), plain=True)
+        parts, _ = toxicity.pieces(np.frombuffer(word.encode(), np.uint8), starts, ends)
+        at = np.flatnonzero(net["keys"] == hashes[0])
+        chars = np.mean([net["pieces"][int(p) >> (64 - toxicity.PIECE_BITS)] for p in parts], axis=0) if len(parts) else np.zeros(toxicity.SIZE)
+        vectors.append(np.concatenate([net["words"][at[0] + 1 if len(at) else 0], chars, [1]]).astype(float))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(side, part):
+        state, out = np.zeros(h), []
+        for x in part if side == "f" else part[::-1]:
+            gx, gh = x @ net[f"w{side}"] + net[f"d{side}"], state @ net[f"u{side}"] + net[f"c{side}"]
+            r, z = sigmoid(gx[:h] + gh[:h]), sigmoid(gx[h : 2 * h] + gh[h : 2 * h])
+            n = np.tanh(gx[2 * h :] + r * gh[2 * h :])
+            state = (1 - z) * n + z * state
+            out.append(state)
+        return out if side == "f" else out[::-1]
+
+    best, begin = -np.inf, 0
+    while words:
+        part = vectors[begin : begin + toxicity.WINDOW]
+        part = part + [np.zeros(toxicity.INPUTS)] * (toxicity.WINDOW - len(part))  # the backward side starts in the padding
+        states = [np.concatenate(x) for x in zip(run("f", part), run("b", part))][: len(vectors) - begin]
+        weight = np.array([s @ net["a"] for s in states])
+        weight = np.exp(weight - weight.max()) / np.exp(weight - weight.max()).sum()
+        best = max(best, float((weight @ np.array(states)) @ net["o"] + net["k"][0]))
+        if begin + toxicity.WINDOW >= len(words):
+            break
+        begin += toxicity.STEP
+    return best
+
+
+def test_margins_are_those_of_plain_loops():
+    rows, labels = labelled(60)
+    texts = pa.array([r[1] for r in rows])
+    keys = np.unique(toxicity.words(texts, plain=True)[0])[::2]
+    net = toxicity.fit(texts, np.array([t for _, _, t in labels]), {"keys": keys})
+    some = ["", " .. ", "one", "Grumblix zorkface!", "é ü 漢字 mixed", *[r[1] for r in rows[:6]], " ".join(r[1] for r in rows[:3])]
+    assert np.allclose(toxicity.text_margins(pa.array(some), net), [slow_margin(t, net) for t in some], atol=1e-3)
+
+
+def test_quality_scores_are_those_of_plain_loops():
+    rng = np.random.default_rng(4)
+    weights = rng.standard_normal(quality.WEIGHTS).astype(np.float32)
+    texts = ["a", "Aa bb aa bb aa cc", "é x é", "one two three one two three one", " ".join(f"w{i % 17}" for i in range(90))]
+    for text in texts:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        hashes = [int(quality.words(pa.array([w]))[0][0]) for w in words]
+        data = np.frombuffer(text.encode(), np.uint8)
+        tri = [int(quality._trigrams(data[i : i + 3])[0]) for i in range(len(data) - 2)]
+        want = np.mean([weights[x >> (64 - quality.BITS)] for x in hashes]) + (np.mean([weights[quality._TRIGRAM + t] for t in tri]) if tri else 0)
+        want += sum(weights[quality._LAG + i] * sum(a == b for a, b in zip(hashes, hashes[lag:])) / len(words) for i, lag in enumerate(quality.LAGS))
+        want += weights[quality._STEP + min(quality.STEPS - 1, int(quality.STEPS * len(set(hashes)) / len(hashes)))]
+        assert np.allclose(quality.scores(pa.array([text, "", text]), weights), [want, np.nan, want], atol=1e-4, equal_nan=True)
+
+
+def test_cumulative_links_are_fitted_to_the_likelihood():
+    """The fitted thresholds and one shared weight come near the best of a grid."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(900)
+    grade = (x + rng.logistic(size=900) > -0.5).astype(int) + (x + rng.logistic(size=900) > 1.5)
+    slots, values = [np.array([0], np.int32)] * 900, [np.array([v], np.float32) for v in x]
+    weights, cuts = quality.fit(slots, values, grade, 3)
+
+    def loss(w, cuts):
+        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+        p = 1 / (1 + np.exp(-(edges[grade + 1] - w * x))) - 1 / (1 + np.exp(-(edges[grade] - w * x)))
+        return -np.log(np.maximum(p, 1e-9)).mean()
+
+    best = min(loss(w, (a, b)) for w in np.arange(0.2, 2, 0.2) for a in np.arange(-1.5, 1, 0.25) for b in np.arange(0.5, 3, 0.25))
+    assert loss(float(weights[0]), cuts) < best + 0.02 and cuts[0] < cuts[1]

@@ -1,7 +1,11 @@
 import random
 
 import corpus_pipeline as P
+from lodestone.llm import mixing, pii, toxicity
 
+from .conftest import words_of
+from .test_minhash import brute
+from .test_mixing_packing import shares
 from .test_models import labelled
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,3 +45,37 @@ def test_run_gives_the_same_sequences_as_the_stages(spark, tmp_path):
     tables(spark, str(tmp_path))
     out = P.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "first_token", "n_tokens", "bucket_len", "batch_id", "slot"] and out.count() > 100
+
+
+def test_stages_equal_a_plain_version(spark, tmp_path):
+    """Each stage against plain Python over what the one before kept; the model's scores and spans are taken as given."""
+    tables(spark, str(tmp_path))
+    docs, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in P.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/plain-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/plain-{name}")
+        out.append(docs.collect())
+    source = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in toxicity.score(source, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert {r.doc_id for r in out[0]} == {i for i, s in score.items() if s < toxicity.CUT}
+    groups = brute([(r.doc_id, r.text) for r in out[0]], 5, 80)
+    assert sorted(r.doc_id for r in out[1]) == sorted(i for i, (_, head) in groups.items() if i == head)
+    found = {r.doc_id: r.spans for r in pii.detect(spark.read.parquet(f"{tmp_path}/plain-minhash_dedup")).collect()}
+    clean = {r.doc_id: r.text for r in out[2]}
+    for r in out[1]:
+        text, at, parts = r.text, 0, []
+        spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in found[r.doc_id].split(",") if x))
+        for a, b, kind in spans:
+            if a >= at:
+                parts += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, -b)
+        assert clean[r.doc_id] == (None if text is None else "".join(parts) + text[at:])
+    size, own = {i: len(words_of(t)) for i, t in clean.items()}, {}
+    for r in out[2]:
+        own[r.source] = own.get(r.source, 0) + size[r.doc_id]
+    want, taken = shares({s: n for s, n in own.items()}), {}
+    for r in out[3]:
+        taken[r.source] = taken.get(r.source, 0) + size[r.doc_id]
+    assert all(abs(taken.get(s, 0) - want[s]) <= max(size[r.doc_id] for r in out[2] if r.source == s) for s in own)
+    assert all(sum(x.doc_id == i for x in out[3]) <= mixing.MOST for i in clean)
+    assert sum(r.n_tokens for r in out[4]) == sum(size[r.doc_id] for r in out[3])
