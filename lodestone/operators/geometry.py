@@ -27,8 +27,9 @@ def uncovered(paragraphs: DataFrame, tables: DataFrame, share: float = COVERED)
 
 
 def in_reading_order(paragraphs: DataFrame) -> DataFrame:
-    """SRC-08: place of each text block on its page: by rounded top, then by left edge."""
-    return flow.numbered(paragraphs, ["document_id", "page"], [F.bround("y0"), "x0", "x1", "y1"], "place")
+    """SRC-08: place of each text block on its page: by rounded top, then by left edge; boxes alike by their text."""
+    tie = ["text"] if "text" in paragraphs.columns else []
+    return flow.numbered(paragraphs, ["document_id", "page"], [F.bround("y0"), "x0", "x1", "y1", *tie], "place")
 
 
 def ocr_pages(pages: DataFrame, keywords: tuple[str, ...], most: int = OCR_PAGES) -> DataFrame:

@@ -832,3 +832,82 @@ def dataset_verification(spark, d):
     )
     files = C.read(spark, d, "orders").select(text(k).alias("notice_id"), F.explode(F.array(F.lit("a.pdf"), F.lit("b.pdf"))).alias("file_name"), F.when(a == 5, 0).otherwise(9).alias("size")).where("file_name = 'a.pdf' or size > 0").withColumn("size", F.lit(9))
     return evaluation.dataset_verification(manifest, files).select(F.col("notice_id").cast("long").alias("k"), "problem", "detail")
+
+
+@query(
+    f"""WITH {_NUMBERED}, p AS (SELECT o, r % 2 + 1 AS page, pk % 50 AS x0, s % 40 AS y0, pk % 50 + 20 AS x1, s % 40 + 15 AS y1, 'paragraph ' || pk::VARCHAR || repeat('.', (o % 3 * 30)::INT) AS t, r FROM n WHERE r > 2),
+t AS (SELECT o, r % 2 + 1 AS page, (pk * 3) % 50 AS x0, (s * 7) % 40 AS y0, (pk * 3) % 50 + 25 AS x1, (s * 7) % 40 + 20 AS y1, pk FROM n WHERE r <= 2),
+k AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.o = p.o AND t.page = p.page AND greatest(0, least(p.x1, t.x1) - greatest(p.x0, t.x0)) * greatest(0, least(p.y1, t.y1) - greatest(p.y0, t.y0)) >= 150)),
+l AS (SELECT n.o, g.page FROM (SELECT DISTINCT o FROM n) n, (VALUES (1), (2)) g(page) LEFT JOIN p ON p.o = n.o AND p.page = g.page GROUP BY 1, 2 HAVING coalesce(length(string_agg(t, chr(10))), 0) < 50),
+b AS (SELECT o, page, 0 AS step, row_number() OVER (PARTITION BY o, page ORDER BY y0, x0, x1, y1, t) AS n, 'paragraph' AS type, t AS text FROM k UNION ALL SELECT o, page, 1, row_number() OVER (PARTITION BY o, page ORDER BY y0, x0, x1, y1), 'table', '| ' || pk::VARCHAR || ' |' || chr(10) || '| --- |' FROM t UNION ALL SELECT o, page, 2, 1, 'ocr_text', 'scan ' || o::VARCHAR FROM l)
+SELECT o, page::INT AS page, row_number() OVER (PARTITION BY o, page ORDER BY step, n) AS place, type, text FROM b"""
+)
+def pdf_blocks(spark, d):
+    """Pages come from a reader that is given to the engine; here it reads boxes from JSON."""
+    import json
+
+    pk, s = F.col("pk"), F.col("s")
+    rows = lines(spark, d)
+    page = (F.col("r") % 2 + 1).cast("int")
+    dots = F.expr("repeat('.', cast(o % 3 * 30 as int))")
+    paragraph = F.struct(page.alias("page"), F.lit("paragraph").alias("kind"), F.concat(F.lit("paragraph "), text("pk"), dots).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"), (pk % 50).alias("x0"), (s % 40).alias("y0"), (pk % 50 + 20).alias("x1"), (s % 40 + 15).alias("y1"))
+    table = F.struct(page.alias("page"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.array(F.array(text("pk"))).alias("rows"), ((pk * 3) % 50).alias("x0"), ((s * 7) % 40).alias("y0"), ((pk * 3) % 50 + 25).alias("x1"), ((s * 7) % 40 + 20).alias("y1"))
+    files = rows.groupBy("o").agg(F.to_json(F.collect_list(F.when(F.col("r") <= 2, table).otherwise(paragraph))).alias("content"))
+    ocr = rows.select(text("o").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.concat(F.lit("scan "), text("o")).alias("text")).distinct()
+
+    def reader(data: bytes) -> list[tuple]:
+        found = json.loads(data)
+        own = [(x["page"], x["kind"], x["text"], x.get("rows"), *(float(x[c]) for c in ("x0", "y0", "x1", "y1"))) for x in found]
+        return own + [(n, "page", "", None, None, None, None, None) for n in (1, 2)]
+
+    out = readers.pdf_blocks(files.select(F.col("o").alias("document_id"), F.encode("content", "UTF-8").alias("content")), reader, ocr=ocr)
+    return out.select(F.col("document_id").cast("long").alias("o"), "page", F.col("place").cast("long").alias("place"), "type", "text")
+
+
+def _notice_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each order a heading, the table of its lines, and for even orders the same table again."""
+    rows = lines(spark, d).join(C.read(spark, d, "part").select(F.col("p_partkey").alias("pk"), "p_name", "p_brand"), "pk")
+    cells = F.array(text("r"), F.col("p_name"), F.col("p_brand"), F.concat(F.lit("型号"), text("pk")), F.concat(text("e"), F.lit("元")), text("q"), text("e"))
+    head = F.array(F.array(*[F.lit(x) for x in ("序号", "货物名称", "品牌", "规格型号", "单价", "数量", "总价")]))
+    body = rows.groupBy("o").agg(F.concat(head, F.transform(F.sort_array(F.collect_list(F.struct("r", cells.alias("c")))), lambda x: x["c"])).alias("rows"))
+    table = lambda pos: F.struct(F.lit(pos).alias("pos"), F.lit("table").alias("type"), F.lit("").alias("text"), F.col("rows").alias("rows"))
+    heading = F.struct(F.lit(0).alias("pos"), F.lit("heading").alias("type"), F.lit("一、主要标的信息").alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    blocks = body.select("o", F.explode(F.when(F.col("o") % 2 == 0, F.array(heading, table(1), table(2))).otherwise(F.array(heading, table(1)))).alias("b")).select("o", "b.*")
+    source = F.struct(text("o").alias("document_id"), F.lit("成交公告.html").alias("file_name"), F.lit("成交公告.html").alias("container_path"), F.lit("html").alias("file_type"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("page"))
+    return blocks.select(text("o").alias("notice_id"), F.concat(F.lit("b"), text("pos")).alias("block_id"), "pos", "type", "text", "rows", source.alias("source"))
+
+
+# A table scores 2, 6 for its source, 4 for each of six fields, 10 as a whole, 7 for several signals, up to 6 for rows with numbers
+# and 4 for money; the heading 6 for its source, 9 for the phrase and 3 as a heading.
+_SCORED = f"WITH {_NUMBERED}, c AS (SELECT o, count(*) AS n, 53 + least(6, 2 + count(*) // 3) AS score FROM n GROUP BY 1)"
+
+
+@query(f"{_SCORED} SELECT o, o::VARCHAR || ':req_001' AS request_id, 'table' AS kind, score::INT AS score, n AS rows, 'b1' AS blocks FROM c UNION ALL SELECT o, o::VARCHAR || ':req_002', 'text', 18, NULL, 'b0' FROM c")
+def selected_requests(spark, d):
+    """The repeated table says nothing new."""
+    out = selection.select(_notice_blocks(spark, d))
+    return out.select(F.col("notice_id").cast("long").alias("o"), "request_id", "kind", F.col("score").cast("int").alias("score"), F.when(F.col("kind") == "table", F.size("data_rows")).cast("long").alias("rows"), F.array_join("block_ids", ",").alias("blocks"))
+
+
+@query(
+    f"""{_SCORED} SELECT o, CASE WHEN o % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS original, CASE WHEN o % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS tables, 1::BIGINT AS sources, 1::BIGINT AS texts, 2::BIGINT AS requests, CASE WHEN o % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS repeated, 0::BIGINT AS excluded, false AS fallback FROM c"""
+)
+def selection_statistics(spark, d):
+    out = selection.selection_stats(_notice_blocks(spark, d))
+    return out.select(
+        F.col("notice_id").cast("long").alias("o"), F.col("original_block_count").alias("original"), F.col("selected_table_block_count").alias("tables"), F.col("selected_table_source_count").alias("sources"), F.col("selected_text_group_count").alias("texts"), F.col("request_count").alias("requests"),
+        F.col("deduplicated_request_count").alias("repeated"), F.col("table_blocks_excluded_by_source_limit").alias("excluded"), F.col("fallback_used").alias("fallback"),
+    )
+
+
+@query(
+    f"""WITH {_NUMBERED}, c AS (SELECT o, count(*) AS n FROM n GROUP BY 1) SELECT o, p::INT AS page, p > 1 AS inherited, CASE WHEN p > 1 THEN 'b1' ELSE 'b' || p::VARCHAR END AS header, n + CASE WHEN p > 1 THEN 1 ELSE 0 END AS rows FROM c, range(1, 4) t(p)"""
+)
+def inherited_headers(spark, d):
+    """Tables of the second and third page have no header; that of the first goes on, and all their rows are data."""
+    rows = _notice_blocks(spark, d).where("pos = 1").withColumn("page", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    plain = F.transform("rows", lambda row, i: F.when(i == 0, F.array(F.lit("0"), F.lit("n"), F.lit("b"), F.lit("m"), F.lit("1元"), F.lit("1"), F.lit("1"))).otherwise(row))
+    rows = rows.withColumn("rows", F.when(F.col("page") > 1, plain).otherwise(F.col("rows"))).withColumn("pos", F.col("page")).withColumn("block_id", F.concat(F.lit("b"), text("page")))
+    rows = rows.withColumn("source", F.struct("source.document_id", F.lit("成交公告.pdf").alias("file_name"), F.lit("成交公告.pdf").alias("container_path"), F.lit("pdf").alias("file_type"), "source.sheet", F.col("page").alias("page"))).drop("page")
+    out = selection.score_tables(rows)
+    return out.select(F.col("notice_id").cast("long").alias("o"), F.col("source.page").alias("page"), F.col("header_inherited").alias("inherited"), F.col("header_source_block_id").alias("header"), F.size("data_rows").cast("long").alias("rows"))

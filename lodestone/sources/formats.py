@@ -10,7 +10,9 @@ import io
 import json
 import re
 import stat
+import struct
 import zipfile
+from collections.abc import Callable
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
@@ -20,6 +22,13 @@ MAX_DEPTH, MAX_FILES, MAX_BYTES, MAX_RATIO, SHEET_ROWS = 3, 5000, 2 << 30, 300,
 # First bytes of file types.
 SIGNATURES = ((b"%PDF-", "pdf"), (b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpg"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"Rar!\x1a\x07", "rar"))
 SUFFIXES = {"jpeg": "jpg", "tif": "tiff", "htm": "html"}
+IMAGES = ("png", "jpg", "tiff", "bmp", "gif", "webp")
+# Fixed value: pixels below which an embedded image is not read.
+LEAST_PIXELS = 40_000
+
+#: Readers of kinds that the standard library can't read, by kind ("pdf", "xls", "doc", "rar" ...): bytes to blocks.  The
+#: one named "image" is an OCR engine: bytes to text and confidences; it serves image files and images within others.
+Adapters = dict[str, Callable]
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _DROPPED = {"script", "style", "noscript", "svg", "nav", "footer"}
@@ -254,9 +263,39 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def parse_docx(data: bytes) -> list[dict]:
-    """SRC-04: paragraphs and tables in body order; heading styles make headings.  Images are left to an OCR provider."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{_W}body")
+def pixels(data: bytes) -> int | None:
+    """Size of an image, from the heads of PNG, GIF and BMP files; None for others."""
+    if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
+        wide, high = struct.unpack(">II", data[16:24])
+    elif data.startswith((b"GIF87a", b"GIF89a")) and len(data) >= 10:
+        wide, high = struct.unpack("<HH", data[6:10])
+    elif data.startswith(b"BM") and len(data) >= 26:
+        wide, high = (abs(x) for x in struct.unpack("<ii", data[18:26]))
+    else:
+        return None
+    return wide * high
+
+
+def image_blocks(data: bytes, place: str, engine: Callable | None, least: int = 0) -> list[dict]:
+    """SRC-12: one ``ocr_text`` block whose place tells its state, and a warning where it has no text for no good reason."""
+    size = pixels(data)
+    text, state = "", "unavailable"
+    if size is not None and size < least:
+        state = "skipped_small_image"
+    elif engine is not None:
+        try:
+            text, confidences = engine(data)
+            state = f"ok {round(sum(confidences) / len(confidences), 4)}" if text and confidences else "ok" if text else "empty"
+        except Exception as problem:  # whatever an engine raises is that image's outcome
+            state = f"failed {str(problem)[:200]}"
+    found = [{"type": "ocr_text", "text": normalise(text), "rows": None, "place": f"{place} ({state})".strip()}]
+    return found if text or state == "skipped_small_image" else [*found, {"type": "warning", "text": f"ocr_unavailable_or_empty: {place or 'image'}: {state}", "rows": None, "place": ""}]
+
+
+def parse_docx(data: bytes, engine: Callable | None = None) -> list[dict]:
+    """SRC-04: paragraphs and tables in body order, heading styles make headings; then the embedded images by name."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    body = ElementTree.fromstring(book.read("word/document.xml")).find(f"{_W}body")
     words = lambda node: "".join(t.text or "" if t.tag == f"{_W}t" else "\n" if t.tag == f"{_W}br" else "\t" for t in node.iter() if t.tag in (f"{_W}t", f"{_W}br", f"{_W}tab"))
     out, tables, texts = [], 0, 0
     for node in body:
@@ -278,7 +317,9 @@ def parse_docx(data: bytes) -> list[dict]:
             if trim(rows):
                 tables += 1
                 out.append(table_block(trim(rows), f"table {tables}"))
-    return out
+    for name in sorted(n for n in book.namelist() if n.startswith("word/media/") and not n.endswith("/")):
+        out += image_blocks(book.read(name), name, engine, LEAST_PIXELS)
+    return out or [{"type": "warning", "text": "docx_no_content", "rows": None, "place": ""}]
 
 
 def _column(ref: str) -> int:
@@ -332,7 +373,7 @@ def safe_name(name: str) -> str:
     path = PurePosixPath(name.replace("\\", "/"))
     parts = name.replace("\\", "/").split("/")
     if path.is_absolute() or any(p in ("", ".", "..") for p in parts) or re.fullmatch(r"[A-Za-z]:", parts[0]):
-        raise ValueError(f"unsafe archive path: {name!r}")
+        raise ValueError(f"member leaves its archive: {name!r}")
     return str(path)
 
 
@@ -354,16 +395,25 @@ def error_block(code: str, message: str) -> dict:
     return {"type": "error", "text": f"{code}: {message}", "rows": None, "place": ""}
 
 
-def parse(name: str, data: bytes, path: str = "", depth: int = 0) -> list[dict]:
+def parse(name: str, data: bytes, path: str = "", depth: int = 0, adapters: Adapters | None = None) -> list[dict]:
     """P-06, SRC-15: blocks of a file with the path it was found under; archives open up to a depth.  A file that cannot
-    be read is one error block and leaves its siblings alone."""
+    be read is one error block and leaves its siblings alone.
+
+    SRC-06, SRC-08, SRC-16, SRC-18: kinds without a reader go to their adapter; without one they are ``unsupported``.
+    """
     here = f"{path}/{name}" if path else name
-    kind = detect(name, data)
+    kind, adapters = detect(name, data), adapters or {}
     try:
         if kind == "zip":
-            return _archive(data, here, depth)
-        if kind in ("html", "docx", "xlsx"):
-            found = {"html": parse_html, "docx": parse_docx, "xlsx": parse_xlsx}[kind](data)
+            return _archive(data, here, depth, adapters)
+        if kind in adapters:
+            found = list(adapters[kind](data))
+        elif kind in IMAGES:
+            found = image_blocks(data, "", adapters.get("image"))
+        elif kind == "docx":
+            found = parse_docx(data, adapters.get("image"))
+        elif kind in ("html", "xlsx"):
+            found = {"html": parse_html, "xlsx": parse_xlsx}[kind](data)
         elif kind in ("json", "txt"):
             found = parse_text(name, data)
         else:
@@ -373,7 +423,7 @@ def parse(name: str, data: bytes, path: str = "", depth: int = 0) -> list[dict]:
     return [b | {"path": here, "file_type": kind} for b in found]
 
 
-def _archive(data: bytes, here: str, depth: int) -> list[dict]:
+def _archive(data: bytes, here: str, depth: int, adapters: Adapters) -> list[dict]:
     fail = lambda code, text, where=here: [error_block(code, text) | {"path": where, "file_type": "zip"}]
     if depth >= MAX_DEPTH:
         return fail("too_deep", f"more than {MAX_DEPTH} archives within each other")
@@ -397,5 +447,5 @@ def _archive(data: bytes, here: str, depth: int) -> list[dict]:
         elif member.compress_size and member.file_size / member.compress_size > MAX_RATIO:
             out += fail("suspicious_compression_ratio", safe, f"{here}/{safe}")
         else:
-            out += parse(PurePosixPath(safe).name, book.read(member), f"{here}/{PurePosixPath(safe).parent}".removesuffix("/."), depth + 1)
+            out += parse(PurePosixPath(safe).name, book.read(member), f"{here}/{PurePosixPath(safe).parent}".removesuffix("/."), depth + 1, adapters)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,21 +16,58 @@ from . import formats
 BLOCKS = "notice_id string, pos int, type string, text string, rows array<array<string>>, place string, path string, file_type string"
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(frames: Iterator[pd.DataFrame], adapters: formats.Adapters | None) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     for frame in frames:
         out = []
         for key, name, data in zip(frame["notice_id"], frame["name"], frame["content"]):
             if data is None:
                 continue
-            found = formats.parse(name, data.encode() if isinstance(data, str) else bytes(data))
+            found = formats.parse(name, data.encode() if isinstance(data, str) else bytes(data), adapters=adapters)
             out += [b | {"notice_id": key, "pos": i} for i, b in enumerate(found)]
         yield pd.DataFrame(out, columns=names)
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """SRC-02 to SRC-17, P-06: blocks of files (notice_id, name, content binary or text)."""
-    return files.select(F.col("notice_id").cast("string").alias("notice_id"), "name", "content").mapInPandas(_blocks, BLOCKS)
+def parsed(files: DataFrame, adapters: formats.Adapters | None = None) -> DataFrame:
+    """SRC-02 to SRC-18, P-06: blocks of files (notice_id, name, content binary or text).
+
+    ``adapters`` travel to the executors with the plan and read what the standard library can't.
+    """
+    return files.select(F.col("notice_id").cast("string").alias("notice_id"), "name", "content").mapInPandas(partial(_blocks, adapters=adapters), BLOCKS)
+
+
+LAYOUT = "document_id string, page int, kind string, text string, rows array<array<string>>, x0 double, y0 double, x1 double, y1 double"
+
+
+def _layout(frames: Iterator[pd.DataFrame], reader) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in LAYOUT.split(", ")]
+    for frame in frames:
+        out = [(key, *row) for key, data in zip(frame["document_id"], frame["content"]) for row in reader(bytes(data))]
+        yield pd.DataFrame(out, columns=names)
+
+
+def pdf_blocks(files: DataFrame, reader, keywords: tuple[str, ...] = (), ocr: DataFrame | None = None) -> DataFrame:
+    """SRC-08: blocks of PDF files (document_id, content): document_id, page, place, type, text, rows.
+
+    ``reader`` turns the bytes of a file into rows (page, kind, text, rows, x0, y0, x1, y1), kind being ``paragraph``,
+    ``table`` or ``page`` (one row a page).  On each page come the paragraphs that no table covers, in reading order, then
+    the tables, then, for pages with little text, what ``ocr`` (document_id, page, text) read of those chosen for it.
+    """
+    from ..operators import geometry
+    from ..operators.flow import numbered
+
+    layout = files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInPandas(partial(_layout, reader=reader), LAYOUT)
+    box = ["x0", "y0", "x1", "y1"]
+    tables = layout.where("kind = 'table'")
+    paragraphs = geometry.in_reading_order(geometry.uncovered(layout.where("kind = 'paragraph' and text <> ''"), tables)).select("document_id", "page", F.lit(0).alias("_step"), F.col("place").cast("int").alias("place"), F.lit("paragraph").alias("type"), "text", "rows")
+    placed = numbered(tables, ["document_id", "page"], ["y0", "x0", "x1", "y1"], "place").select("document_id", "page", F.lit(1), F.col("place").cast("int"), F.lit("table"), X.table_to_markdown(X.trim_table(F.col("rows"))), X.trim_table(F.col("rows")))
+    words = layout.where("kind <> 'table'").groupBy("document_id", "page").agg(F.coalesce(F.array_join(F.collect_list(F.when(F.col("kind") == "paragraph", F.col("text"))), "\n"), F.lit("")).alias("text"))
+    little = words.where(F.length("text") < geometry.OCR_CHARS).select("document_id", "page")
+    chosen = geometry.ocr_pages(words, keywords).select("document_id", "page", F.lit(True).alias("_chosen"))
+    read = little.join(chosen, ["document_id", "page"], "left")
+    read = read.join(ocr.select("document_id", "page", F.col("text").alias("_text")), ["document_id", "page"], "left") if ocr is not None else read.withColumn("_text", F.lit(None).cast("string"))
+    scans = read.select("document_id", "page", F.lit(2), F.lit(1), F.lit("ocr_text"), F.when(F.col("_chosen"), F.coalesce("_text", F.lit(""))).otherwise(""), F.lit(None).cast("array<array<string>>"))
+    return numbered(paragraphs.union(placed).union(scans), ["document_id", "page"], ["_step", "place"], "_n").drop("_step", "place").withColumnRenamed("_n", "place")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -74,8 +74,9 @@ def test_requests_of_a_notice(frame):
     split = selection.select(frame([block(0, "table", "", GOODS + [["3", "键盘", "甲", "K1", "1", "5", "5"]])]), selection.Settings(max_table_rows_per_request=2)).orderBy("request_id").collect()
     assert [[d.block_row for d in r.data_rows] for r in split] == [[2, 3], [4]]
     assert selection.select(frame([block(0, "paragraph", "nothing")])).count() == 0
-    stats = selection.selection_stats(frame(rows), selection.select(frame(rows))).first()
-    assert stats.original_block_count == 6 and stats.request_count == 3
+    stats = selection.selection_stats(frame(rows)).first().asDict()
+    assert len(stats) == 20 and stats["original_block_count"] == 6 and stats["request_count"] == 3 and stats["deduplicated_request_count"] == 1
+    assert (stats["table_candidate_count"], stats["selected_table_block_count"], stats["selected_table_source_count"], stats["text_group_count_before_limit"], stats["fallback_used"]) == (2, 2, 1, 2, False)
 
 
 def test_weak_texts_are_a_fallback_only(frame):

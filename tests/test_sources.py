@@ -153,3 +153,32 @@ def test_streams(spark, tmp_path):
 def test_sessions(spark):
     events = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:03:00"), ("u", "2024-01-01 01:00:00")], "u string, t string").select("u", F.to_timestamp("t").alias("ts"), F.lit(1).alias("value"))
     assert sorted(r.n for r in feeds.sessions(events, "u", "10 minutes").collect()) == [1, 2] and feeds.tumbling(events, "1 hour").count() == 2
+
+
+def test_adapters_read_what_the_standard_library_cannot():
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (200).to_bytes(4, "big") + (100).to_bytes(4, "big")
+    kinds = lambda found: [(b["type"], b["text"], b["place"]) for b in found]
+    assert kinds(formats.parse("a.png", png)) == [("ocr_text", "", "(unavailable)"), ("warning", "ocr_unavailable_or_empty: image: unavailable", "")]
+    assert kinds(formats.parse("a.png", png, adapters={"image": lambda data: ("单价 5", [0.5, 1.0])})) == [("ocr_text", "单价 5", "(ok 0.75)")]
+
+    def broken(data):
+        raise ValueError("no engine")
+
+    assert formats.parse("a.png", png, adapters={"image": broken})[0]["place"] == "(failed no engine)"
+    assert [b["type"] for b in formats.parse("a.pdf", b"%PDF-1.7")] == ["unsupported"]
+    assert kinds(formats.parse("a.pdf", b"%PDF-1.7", adapters={"pdf": lambda data: [formats.text_block("paragraph", "page", "page 1")]})) == [("paragraph", "page", "page 1")]
+    assert [b["type"] for b in formats.parse("a.xls", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", adapters={"xls": broken})] == ["error"]
+
+
+def test_images_within_word_files():
+    book = io.BytesIO()
+    small = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (20).to_bytes(4, "big") + (10).to_bytes(4, "big")
+    source = zipfile.ZipFile(io.BytesIO(docx()))
+    with zipfile.ZipFile(book, "w") as out:
+        for name in source.namelist():
+            out.writestr(name, source.read(name))
+        out.writestr("word/media/b.png", small)
+        out.writestr("word/media/a.jpeg", b"\xff\xd8\xffxx")
+    found = formats.parse("x.docx", book.getvalue(), adapters={"image": lambda data: ("read", [])})
+    assert [(b["text"], b["place"]) for b in found if b["type"] == "ocr_text"] == [("read", "word/media/a.jpeg (ok)"), ("", "word/media/b.png (skipped_small_image)")]
+    assert [b["type"] for b in formats.parse("x.docx", book.getvalue())][-3:] == ["ocr_text", "warning", "ocr_text"]
