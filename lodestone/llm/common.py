@@ -6,11 +6,14 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -20,6 +23,9 @@ FILTER_BITS = 1 << 25
 #: Bytes of one Arrow batch between the JVM and Python, unless the session says otherwise.
 BATCH_BYTES = "4m"
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("64m", "67108864b", "67108864")
+#: Seconds between two calls of :func:`trim_driver` that do something.
+TRIM_SECONDS = 2.0
+_trimmed = float("-inf")
 #: Bits of one row that ``bitmap_construct_agg`` builds.
 BITMAP_ROW = 32_768
 
@@ -29,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only on a local master without the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"lodestone-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -52,12 +60,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(spark)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Return what the driver's JVM has freed of its native heap.
+
+    Planning and broadcasts run on hundreds of short-lived threads, whose allocator keeps what they free (measured: 213 of
+    1,139 MB in the middle of the pipeline).  JVMs without the command are left as they are.
+    """
+    global _trimmed
+    if time.monotonic() - _trimmed < TRIM_SECONDS:
+        return
+    _trimmed = time.monotonic()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    with contextlib.suppress(Py4JError):
+        none, kind, call = (gateway.new_array(c, n) for c, n in ((jvm.java.lang.Object, 1), (jvm.java.lang.String, 1), (jvm.java.lang.Object, 4)))
+        none[0], kind[0] = gateway.new_array(jvm.java.lang.String, 0), "[Ljava.lang.String;"
+        call[0], call[1], call[2], call[3] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", none, kind
+        # by reflection on the interface, as the server's own class is not open to callers
+        method = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        method.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+
+
 def give_back() -> None:
     """Return freed memory of numpy and Arrow to the system after work on the driver."""
     gc.collect()
