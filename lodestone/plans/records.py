@@ -911,3 +911,20 @@ def inherited_headers(spark, d):
     rows = rows.withColumn("source", F.struct("source.document_id", F.lit("成交公告.pdf").alias("file_name"), F.lit("成交公告.pdf").alias("container_path"), F.lit("pdf").alias("file_type"), "source.sheet", F.col("page").alias("page"))).drop("page")
     out = selection.score_tables(rows)
     return out.select(F.col("notice_id").cast("long").alias("o"), F.col("source.page").alias("page"), F.col("header_inherited").alias("inherited"), F.col("header_source_block_id").alias("header"), F.size("data_rows").cast("long").alias("rows"))
+
+
+@query(
+    """SELECT page_id AS k, CASE WHEN page_id % 2 = 0 THEN 'Head ' || page_id::VARCHAR ELSE 'Title ' || page_id::VARCHAR END AS title, 'body ' || page_id::VARCHAR AS content, '项目=p' || page_id::VARCHAR AS meta,
+CASE WHEN page_id % 3 = 0 THEN 'u' || page_id::VARCHAR || ':list:bizDownload|http://x/a/f' || page_id::VARCHAR || '.pdf:second:direct' ELSE 'o' || page_id::VARCHAR || ':oss:oss_direct|http://x/a/f' || page_id::VARCHAR || '.pdf:second:direct' END AS attachments FROM pages"""
+)
+def detail_pages(spark, d):
+    k = F.col("page_id")
+    n = text(k)
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    head = F.when(k % 2 == 0, join("<div class='vF_detail_header x'><h2> Head \n ", n, "</h2></div>")).otherwise("")
+    link = F.when(k % 3 == 0, join("<a class='bizDownload' id='u", n, "'>list</a><a class='bizDownload' id='null'>no</a>")).otherwise(join("<a href='/oss/download?uuid=o", n, "'>oss</a>"))
+    body = join("<html><head><title>Title ", n, "</title></head><body>", head, "<div class='vF_detail'><table><tr><td>项目：</td><td>p", n, "</td></tr><tr><td>x</td><td>y</td></tr></table></div><div class='vF_detail_content'>body ", n, "</div>", link, "<a href='f", n, ".pdf'>first</a><a href='f", n, ".pdf'>second</a><a href='#top'>top</a><a href='/cggg/a.pdf'>notice</a></body></html>")
+    out = readers.details(C.read(spark, d, "pages").select("page_id", F.lit("http://x/a/b.html").alias("url"), body.alias("html")))
+    pairs = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    files = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", F.coalesce(a["uuid"], a["url"]), a["name"], a["kind"])), "|")
+    return out.select(F.col("page_id").cast("long").alias("k"), "title", "content", pairs.alias("meta"), files.alias("attachments"))

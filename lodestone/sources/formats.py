@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
+from urllib.parse import parse_qs, urljoin, urlsplit
 from xml.etree import ElementTree
 
 # Limits of archives and the rows of a sheet's block.
@@ -252,6 +253,55 @@ def parse_html(data: bytes) -> list[dict]:
     return out
 
 
+_FILE = re.compile(r"\.(?:docx?|xlsx?|pdf|zip|rar|7z|jpe?g|png|gif|bmp|tiff?|txt|csv)(?:\?|$)", re.I)
+
+
+def _flat(node: _Node | None) -> str:
+    return " ".join(node.text().split()) if node is not None else ""
+
+
+def parse_detail(data: bytes, url: str) -> dict:
+    """SRC-23: title, text, summary table and attachments of a stored detail page.
+
+    Attachments: name, uuid, url (an address on the page, joined to the page's), kind; the last of an address counts.
+    """
+    tree = _Tree()
+    tree.feed(decode(data))
+    tree.close()
+    nodes = list(tree.root.walk())
+    named = lambda part: [n for n in nodes if n.tag == "div" and part in (n.attrs.get("class") or "")]
+    below = lambda tops, tag: (n for top in tops for n in top.walk() if n.tag == tag)
+    places = [below(named("vF_detail_header"), "h2"), below(named("vF_detail"), "h1"), *((n for n in nodes if n.tag == tag) for tag in ("h1", "h2", "title"))]
+    title = next((t for t in (_flat(next(iter(found), None)) for found in places) if t), None)
+    mains = [next(iter(named(part)), None) for part in ("vF_detail_content", "vT_detail_content", "vF_detail")] + [next((n for n in nodes if n.tag == "body"), None)]
+    content = next((t for t in map(_flat, mains) if t), "")
+    meta: dict[str, str] = {}
+    for table in below(named("vF_detail"), "table"):
+        rows = [[c for c in row.children if isinstance(c, _Node) and c.tag == "td"] for row in table.walk() if row.tag == "tr"]
+        pairs = [(_flat(r[0]).rstrip("：:"), _flat(r[1])) for r in rows if len(r) > 1] if len(rows) <= 8 else []
+        meta = {k: v for k, v in pairs if 2 <= len(k) <= 20 and v}
+        if meta:
+            break
+    found: dict[str, dict] = {}
+    links = [n for n in nodes if n.tag == "a"]
+    for a in links:
+        uuid = (a.attrs.get("id") or "").strip()
+        if "bizDownload" in (a.attrs.get("class") or "") and uuid not in ("", "null"):
+            found[uuid] = {"name": _flat(a), "uuid": uuid, "url": None, "kind": "bizDownload"}
+    for a in links:
+        href = a.attrs.get("href") or ""
+        low, parts = href.lower(), urlsplit(href)
+        name = _flat(a) or PurePosixPath(parts.path).name
+        if not href or low.startswith(("javascript", "#", "mailto")):
+            continue
+        if "/oss/download" in low:
+            uuid = parse_qs(parts.query).get("uuid", [""])[0].strip() or None
+            found[uuid or urljoin(url, href)] = {"name": name, "uuid": uuid, "url": None if uuid else urljoin(url, href), "kind": "oss_direct"}
+        elif _FILE.search(low) and "/cggg/" not in low:
+            found[urljoin(url, href)] = {"name": name, "uuid": None, "url": urljoin(url, href), "kind": "direct"}
+    return {"title": title, "content": content[:200_000], "meta": meta, "attachments": list(found.values())}
+
+
 def sheet_blocks(sheet: str, rows: list[list], most: int = SHEET_ROWS) -> list[dict]:
     """SRC-07: blocks of ``most`` rows; later ones repeat the first row before theirs."""
     clean = trim(rows)

@@ -132,3 +132,17 @@ def detail_links(pages: DataFrame) -> DataFrame:
     rows = each.select("page_id", "place", F.regexp_extract("a", r"(?is)href\s*=\s*[\"']([^\"']+)[\"']", 1).alias("url"), F.trim(F.regexp_replace("a", r"(?s)<[^>]+>", "")).alias("title"))
     turn = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("page_id"), F.desc("place")))
     return rows.withColumn("_n", turn).where("_n = 1").drop("_n")
+
+
+DETAILS = "page_id string, title string, content string, meta map<string,string>, attachments array<struct<name:string,uuid:string,url:string,kind:string>>"
+
+
+def _detail(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = [formats.parse_detail(html.encode() if isinstance(html, str) else bytes(html or b""), url or "") for html, url in zip(frame["html"], frame["url"])]
+        yield pd.DataFrame({"page_id": frame["page_id"], **{name: [x[name] for x in found] for name in ("title", "content", "meta", "attachments")}})
+
+
+def details(pages: DataFrame) -> DataFrame:
+    """SRC-23: stored detail pages (page_id, url, html) with title, text, summary and attachments."""
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(_detail, DETAILS)
