@@ -8,12 +8,13 @@ returns one row per document with its component.  Steps:
 2. Texts of equal sets form a class; only its smallest doc_id goes on.
 3. In each bucket (band and key) every member is tied to the smallest one: no pairs within a bucket, rows grow with the
    bucket.  A hot bucket is pre-aggregated to its smallest member and joined back (a join that AQE splits).
-4. Candidates whose signatures agree too little are dropped (bound of six standard deviations, so that no true pair is
-   lost), the rest are compared on their full sets, computed from the whole texts.
+4. Candidates whose signatures agree too little are dropped (six standard deviations below what the threshold lets
+   expect: a true pair is lost with probability 1e-9), the rest are compared on their full sets, computed from the whole
+   texts.
 5. Components by large-star and small-star.  Members of buckets that still hold several components are then joined
    across components on the rarest shingles of their sets, with prefix, length and positional filters (all exact), so a
    pair that shares a bucket is left uncompared only if it is connected already or cannot reach the threshold.  Any
-   order of shingles keeps those filters exact; a table of ``SLOTS`` counts, of fixed size, orders them by frequency.
+   order of shingles keeps those filters exact; a table of ``SLOTS`` bytes, of fixed size, orders them by frequency.
 
 A pair at exactly the threshold shares no bucket with probability (1 - t**rows)**bands: 3e-6 for the defaults at 0.8.
 """
@@ -30,16 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flagged, give_back, only_ids, stored, table
+from .common import flagged, give_back, only_ids, stored, table, whole_groups
 from .components import components
 from .words import mix, shingles, slices, words
 
 BANDS, ROWS = 32, 5
 #: Shingles hashed at once.
 BLOCK = 2048
-#: Entries of the frequency table that orders shingles, whatever the input.
+#: Entries of the frequency table that orders shingles, one byte each, whatever the input; entries of one row of it.
 SLOT_BITS = 21
-SLOTS = 1 << SLOT_BITS
+SLOTS, LEVELS = 1 << SLOT_BITS, 1 << 15
 _U = np.uint64
 
 
@@ -134,6 +135,18 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(many.astype(np.int64))], names=["slot", "many"])
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, slot, many) sorted by block to one row a block: a byte for each of its slots, 0 for slots with one
+    set at most, else rising with the number of sets (eight steps to its doubling)."""
+    for rows in whole_groups(batches, ["block"]):
+        block, slot, many = (rows.column(c).to_numpy() for c in ("block", "slot", "many"))
+        for one in np.unique(block):
+            own = block == one
+            level = np.zeros(LEVELS, np.uint8)
+            level[slot[own] % LEVELS] = np.where(many[own] > 1, np.minimum(255, 1 + 8 * np.log2(np.maximum(1, many[own]))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([int(one)]), pa.array([level.tobytes()], pa.binary())], names=["block", "data"])
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator[pa.RecordBatch]:
     """The rarest shingles of each set, by place: those that a set within the threshold must share one of."""
     table = counts.value
@@ -143,7 +156,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
             own = np.frombuffer(items, dtype=_U)
             many = table[own >> _U(64 - SLOT_BITS)]
             order = np.lexsort((own, many))[: n - -(-percent * n // 100) + 1]
-            place = np.flatnonzero(many[order] > 1)
+            place = np.flatnonzero(many[order] > 0)
             for column, value in zip(out, (own[order][place].view(np.int64), place, n, rep, part)):
                 column.append(np.broadcast_to(value, place.shape).astype(np.int64))
         arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out]
@@ -166,11 +179,12 @@ def _across(left: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent
     spark = left.sparkSession
     own = only_ids(texts, "doc_id", left.select("rep")).join(left, F.col("doc_id") == F.col("rep")).select("rep", "part", "text")
     sets = stored(own.mapInArrow(partial(_sets, k=k), "rep long, part long, n long, items binary"), "sets")
-    slots = sets.select("items").mapInArrow(_slot_counts, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1").toArrow()
-    table = np.ones(SLOTS, dtype=np.int32)
-    table[slots.column("slot").to_numpy()] = np.minimum(slots.column("many").to_numpy(), np.iinfo(np.int32).max)
+    slots = sets.select("items").mapInArrow(_slot_counts, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many"))
+    blocks = slots.select(F.floor(F.col("slot") / LEVELS).alias("block"), "slot", "many").repartition("block").sortWithinPartitions("block")
+    table = np.zeros(SLOTS, np.uint8)
+    for row in blocks.mapInArrow(_levels, "block long, data binary").collect():
+        table[row["block"] * LEVELS :][:LEVELS] = np.frombuffer(bytes(row["data"]), np.uint8)
     shared = spark.sparkContext.broadcast(table)
-    del slots, table
     give_back()
     rare = stored(sets.select("rep", "part", "n", "items").mapInArrow(partial(_prefixes, counts=shared, percent=percent), "item long, place long, n long, rep long, part long"), "rare")
     other = rare.toDF("item", "_place", "_n", "_rep", "_part")
@@ -185,7 +199,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Null or wordless texts have no shingles and link with nothing; a text of fewer than ``k`` words is one shingle;
-    a null doc_id links with nothing and is kept.  Repeated rows stay; rows of one doc_id share their component.
+    a null doc_id links with nothing and is kept.  Texts of any length are compared whole; equal sets link whatever their
+    texts.  Repeated rows stay; rows of one doc_id share their component, of which the smallest doc_id is the head.  Other
+    columns, whatever their names, are not looked at.  An empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(
@@ -244,10 +260,26 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one of the smallest doc_id, with all its columns, whatever
+    their names; null, empty and wordless texts and rows without a doc_id stay, of rows with one doc_id one stays."""
     marks = near_duplicates(docs).where("kept").select("doc_id").distinct()
     kept = docs.join(marks.where("doc_id is not null"), "doc_id", "left_semi")
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
     if twice.limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+#: The same result by brute force over all pairs of documents that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS low FROM s UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node AND r.low < e.b),
+c AS (SELECT node, min(low) AS low FROM r GROUP BY 1)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, low AS component_id, doc_id = low AS kept FROM s JOIN c ON node = doc_id
+"""

@@ -66,3 +66,12 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(21)}, **{100 + i: 100 for i in range(9)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_clashing_columns_and_very_long_texts(make, spark):
+    long = " ".join(f"w{i % 9973}" for i in range(60_000))
+    frame = make([doc(1, long), doc(2, long + " end"), doc(3, "short text here")]).withColumnsRenamed({"title": "rep", "score": "digest", "lang": "_maybe"})
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True)}
+    out = minhash.stage(spark, frame, "")
+    assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
