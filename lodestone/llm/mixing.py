@@ -131,7 +131,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words taken, repeats counted), copies.
 
     Null or wordless texts have size 0 and are taken 0 times; a null source is a source of its own, last in order; rows
-    equal in doc_id and text are taken or left together.  An empty table gives an empty result.
+    equal in doc_id and text are taken or left together.  Texts of any length are counted whole.  Other columns, whatever
+    their names, are not looked at.  An empty table gives an empty result.
     """
     own = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     sizes = stored(measured(own).drop("text"), "sizes")

@@ -59,8 +59,9 @@ def pack(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget
     """One row per sequence: doc_id, piece (from 0), first_token, n_tokens, bucket_len, batch_id, slot.
 
     ``batch_id`` is unique over all buckets; a batch holds at most ``budget`` padded tokens (one sequence at least).
-    Null or wordless texts give one sequence of no tokens with bucket_len 0 and no batch.  Repeated rows each give
-    their sequences.  An empty table gives an empty result.
+    Null or wordless texts give one sequence of no tokens with bucket_len 0 and no batch.  Texts of any length are cut
+    into pieces.  Repeated rows each give their sequences; sequences of one length are told apart by doc_id and piece.
+    Other columns, whatever their names, are not looked at.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text").cast("string")).alias("_n"))
@@ -112,5 +113,26 @@ def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the documents that the other stages kept."""
+    """Sequences of the documents that the other stages kept, as :func:`pack` gives them; a document that stands several
+    times gives its sequences as often."""
     return pack(docs)
+
+
+def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences, tokens and padding of all buckets together, and the fullest batch in padded tokens."""
+    rows = op8_length_buckets(spark, sf_dir).where("bucket_len > 0")
+    batches = rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sum("bucket_len").alias("p"))
+    return batches.agg(F.sum("n").alias("sequences"), F.sum("t").alias("tokens"), (F.sum("p") - F.sum("t")).alias("padding"), (F.max("p") <= BUDGET).alias("within"))
+
+
+#: Least padding of ``BUCKETS`` buckets by a dynamic program in SQL: best(k, i) is that of the first i lengths in k buckets.
+PADDING_SQL = rf"""
+WITH RECURSIVE t AS (SELECT len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+s AS (SELECT {LONGEST} AS x, sum(n // {LONGEST})::BIGINT AS c FROM t UNION ALL SELECT n % {LONGEST}, count(*) FROM t GROUP BY 1),
+h AS (SELECT x, sum(c) AS c FROM s WHERE x > 0 GROUP BY 1 HAVING sum(c) > 0),
+p AS (SELECT row_number() OVER (ORDER BY x) AS i, x, sum(c) OVER (ORDER BY x) AS rows, sum(c * x) OVER (ORDER BY x) AS tokens FROM h),
+z AS (SELECT 0 AS i, 0 AS x, 0 AS rows, 0 AS tokens UNION ALL SELECT * FROM p),
+cost AS (SELECT a.i AS a, b.i AS b, (b.x * (b.rows - a.rows) - (b.tokens - a.tokens))::BIGINT AS pad FROM z a JOIN z b ON a.i < b.i),
+best AS (SELECT 1 AS k, b AS i, pad FROM cost WHERE a = 0 UNION ALL SELECT k, i, min(pad) FROM (SELECT best.k + 1 AS k, cost.b AS i, best.pad + cost.pad AS pad FROM best JOIN cost ON cost.a = best.i WHERE best.k < {BUCKETS}) GROUP BY 1, 2)
+SELECT (SELECT sum(c) FROM h)::BIGINT AS sequences, (SELECT sum(c * x) FROM h)::BIGINT AS tokens, min(pad)::BIGINT AS padding, true AS within FROM best WHERE i = (SELECT max(i) FROM p)
+"""
