@@ -1,7 +1,8 @@
 """Exact top-k search: tiled matrix products of queries and shards, partial selection per tile, tree merging.
 
-Queries are dealt into blocks and candidates into shards of bounded size; one task multiplies one block with one shard,
-keeps the ``k`` best candidates of each query, and passes on k rows a query.  Merging goes up a tree of fan-in
+Queries are dealt into blocks and candidates into shards of bounded bytes; one task multiplies one block with one shard,
+keeps the ``k`` best candidates of each query, and passes on k rows a query.  A candidate is copied once a block, a query
+once a shard, so blocks and shards are as large as a task can well hold.  Merging goes up a tree of fan-in
 ``FAN``: a query's lists meet ``FAN`` at a time, so no task gathers the lists of all shards.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-QUERY_BLOCK = 1024
-SHARD = 2048
+#: Numbers that one side of a tile holds at most: 8 MB in double precision, whatever the vectors' length.
+TILE_VALUES = 1 << 20
 FAN = 8
 #: Integers of a smaller magnitude are exact in double precision.
 EXACT = float(1 << 53)
@@ -68,17 +69,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``vectors`` (vec_id long, vector array<long>) to query_id, rank, vec_id, score: the k largest inner products.
 
     Rows with a null vec_id or vector take no part; vectors meet only vectors of their own length.  Rows of the query's
-    vec_id are the query's own.  Ties go to the smaller vec_id; a repeated candidate row is listed as often as it is
-    there.  Sums must fit 64 bits.  An empty table gives an empty result.
+    vec_id are the query's own.  A vec_id asks once: of repeated query rows, that with the least vector (by components in
+    order) is the query.  Ties go to the smaller vec_id; a repeated candidate row is listed as often as it is there.  Sums
+    must fit 64 bits.  Other columns, whatever their names, are not looked at.  An empty table gives an empty result.
     """
     rows = stored(
         vectors.where("vec_id is not null and vector is not null").select("vec_id", "vector", F.size("vector").alias("dim"), is_query.alias("asked")), "vectors"
     )
-    asked, n = rows.agg(F.sum(F.col("asked").cast("long")), F.count("*")).first()
-    blocks, shards = max(1, -(-(asked or 0) // QUERY_BLOCK)), max(1, -(-n // SHARD))
+    asked, n = rows.agg(F.sum(F.when(F.col("asked"), F.col("dim")).otherwise(0)), F.sum("dim")).first()
+    blocks, shards = (max(1, -(-(values or 0) // TILE_VALUES)) for values in (asked, n))
     spread = lambda column, many: F.pmod(F.xxhash64(column), F.lit(many))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
-    left = rows.where("asked").select("dim", spread(F.col("vec_id"), blocks).alias("block"), every(shards).alias("shard"), F.lit(1).alias("is_query"), "vec_id", "vector")
+    queries = rows.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    left = queries.select("dim", spread(F.col("vec_id"), blocks).alias("block"), every(shards).alias("shard"), F.lit(1).alias("is_query"), "vec_id", "vector")
     right = rows.withColumn("_row", F.monotonically_increasing_id()).select(
         "dim", every(blocks).alias("block"), spread(F.col("_row"), shards).alias("shard"), F.lit(0).alias("is_query"), "vec_id", "vector"
     )
@@ -104,7 +107,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  FROM (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id) a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
