@@ -20,6 +20,11 @@ LICENSES = [
     doc(8, "x " * 3000 + "Released under the MIT License."),
     doc(8, "x " * 3000 + "Released under the MIT License."),
     doc(None, "general public license"),
+    doc(9, "the " + "a " * 500 + "mit " + "b " * 500 + "license " + "c " * 500 + "released " + "d " * 500 + "under"),
+    doc(10, "# Released\n# under\n#\n#  the MIT\n# license"),
+    doc(11, "released under the old mit license"),
+    doc(12, "released under the very old mit license"),
+    doc(13, "this is free and unencumbered software, put into public domain; released into the public domain"),
 ]
 
 
@@ -34,6 +39,7 @@ def test_license_scan_equals_sql(make):
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[1]["labels"] == "cc-by,cc-by-nc-4.0" and by_id[3]["labels"] == "gpl,gpl-3.0" and by_id[7]["labels"] == "" and by_id[8]["labels"] == "mit"
     assert by_id[4] == {"doc_id": 4, "n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0}
+    assert [by_id[i]["labels"] for i in (9, 10, 11, 12, 13)] == ["", "mit", "mit", "", "unlicense"] and by_id[9]["score"] == 0.0
     assert licenses.scan(make([])).count() == 0
 
 
@@ -87,6 +93,7 @@ def test_base_spans_equal_brute_force_and_stay(make):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(r.spans.split(",")) or not want
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in RULES]
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
     assert "secret:0:" in next(r.spans for r in got if r.doc_id == 4) and next(r.spans for r in got if r.doc_id == 7) == ""
     assert pii.detect(make([])).count() == 0
 
@@ -99,6 +106,15 @@ def test_redaction_takes_spans_out_and_leaves_the_rest(make):
     assert "4111 1111 1111 1111" not in out[2].text and out[2].source == "s0"
 
 
+def test_redaction_with_clashing_columns_and_rows(make):
+    frame = make([doc(1, "mail me@mail.example.com"), doc(1, "mail me@mail.example.com"), doc(None, "clean"), doc(3, None)])
+    names = {"title": "_row", "component_id": "_cuts", "score": "_hash", "lang": "_maybe"}
+    out = pii.redact(frame.withColumnsRenamed(names))
+    assert out.columns == [names.get(c, c) for c in frame.columns]
+    assert sorted((r.doc_id or 0, r.text or "", r["_row"]) for r in out.collect()) == [(0, "clean", "t"), (1, "mail [EMAIL]", "t"), (1, "mail [EMAIL]", "t"), (3, "", "t")]
+    assert pii.redact(make([])).count() == 0
+
+
 def test_boosted_trees_separate_and_become_sql(spark):
     import numpy as np
 
@@ -120,3 +136,9 @@ def test_word_counts(spark, text, n):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "t string").select(mixing.n_words(F.col("t"))).first()[0] == n
+
+
+def test_account_numbers_and_what_follows(make):
+    rows = [doc(1, "iban GB82 WEST 1234 5698 7654 32 please"), doc(2, "iban GB83 WEST 1234 5698 7654 32 please"), doc(3, "we saw 20240101 views in 12345678 units"), doc(4, "DE89370400440532013000")]
+    got = {r.doc_id: r.spans for r in pii.detect(make(rows)).collect()}
+    assert "iban:5:32" in got[1].split(",") and "iban" not in got[2] and got[3] == "" and "iban:0:22" in got[4]
