@@ -163,7 +163,7 @@ def integrity_violations(spark, d):
     return evaluation.violations(items).select(F.col("notice_id").alias("o"), "item_no", "violation")
 
 
-HOSTS = ["http://www.ccgp.gov.cn/#", "https://www.sse.com.cn/a#", "http://example.com/#", "https://gov.uk/#", "not an address #"]
+HOSTS = ["http://www.city.gov.cn/#", "https://www.sse.com.cn/a#", "http://example.com/#", "https://gov.uk/#", "not an address #"]
 
 
 @query(

@@ -119,8 +119,8 @@ def test_backends(spark):
 
 
 def test_decisions_are_graded_by_their_sources(spark):
-    decisions = spark.createDataFrame([("d1", ["http://www.ccgp.gov.cn/a", "http://x.com"], "confirmed"), ("d2", ["http://y.com"], "confirmed"), ("d3", ["http://z.com"], "confirmed")], "decision_id string, urls array<string>, status string")
-    results = spark.createDataFrame([("d1", "http://www.ccgp.gov.cn/a"), ("d2", "http://y.com")], "decision_id string, url string")
+    decisions = spark.createDataFrame([("d1", ["http://www.city.gov.cn/a", "http://x.com"], "confirmed"), ("d2", ["http://y.com"], "confirmed"), ("d3", ["http://z.com"], "confirmed")], "decision_id string, urls array<string>, status string")
+    results = spark.createDataFrame([("d1", "http://www.city.gov.cn/a"), ("d2", "http://y.com")], "decision_id string, url string")
     got = {r.decision_id: (r.quality, r.review) for r in extraction.graded(decisions, results).collect()}
     assert got == {"d1": ("high", False), "d2": ("low", True), "d3": ("none", True)}
     rows = spark.createDataFrame([("a", "2024-01-01", None, "2024-06-01"), ("b", None, "2023-01-01", "2024-06-01")], "x string, valid_from string, valid_to string, as_of string")
