@@ -29,12 +29,18 @@ from .topk import finite
 
 #: Vectors and numbers that the centres are fitted on at most.
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 8_000_000
-CELL_ROWS, MOST_CELLS = 8_192, 1_024
-BLOCK = 4_096
+MOST_CELLS = 1_024
+#: Numbers of one block at most (16 MB), rows of one at least, blocks that one cell holds on average.
+BLOCK_VALUES, LEAST_ROWS, CELL_BLOCKS = 1 << 21, 16, 2
 ROUNDS = 8
 CHUNK = 512
 
 
+def block_rows(dim: int) -> int:
+    """Rows of a block of vectors of ``dim`` numbers: a vector is sent once a block that it meets, so blocks are large."""
+    return max(LEAST_ROWS, BLOCK_VALUES // max(1, dim))
+
+
 def _unit(data: list[bytes]) -> np.ndarray:
     rows = np.frombuffer(b"".join(data), dtype=np.float64).reshape(len(data), -1)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
@@ -124,7 +130,8 @@ def near_vectors(vectors: DataFrame, t: float = 0.9) -> DataFrame:
 
     Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor do rows with a null
     vec_id (their component is null and they are kept).  Vectors of different lengths are not compared.  Equal vectors
-    and repeated rows link with each other.
+    and repeated rows link with each other; a group's head is its smallest vec_id.  Other columns, whatever their names,
+    are not looked at.  An empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = finite("embedding") & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
@@ -134,7 +141,7 @@ def near_vectors(vectors: DataFrame, t: float = 0.9) -> DataFrame:
     )
     fitted: dict[int, np.ndarray] = {}
     for dim, n in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(16).collect():
-        k = min(MOST_CELLS, -(-n // CELL_ROWS))
+        k = min(MOST_CELLS, -(-n // (CELL_BLOCKS * block_rows(dim))))
         if k > 1:
             most = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // max(1, dim)))
             sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("data").collect()
@@ -143,7 +150,8 @@ def near_vectors(vectors: DataFrame, t: float = 0.9) -> DataFrame:
         classes.select("vec_id", "many", "dim", "data").mapInArrow(partial(_assign, fitted=fitted, t=t), "dim long, cell long, home boolean, vec_id long, many long, data binary"),
         "cells",
     )
-    blocks = lambda home: F.greatest(F.lit(1), F.ceil(F.sum((F.col("home") == home).cast("long")) / BLOCK))
+    rows_of = F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.lit(1), F.col("dim"))))
+    blocks = lambda home: F.greatest(F.lit(1), F.ceil(F.sum((F.col("home") == home).cast("long")) / rows_of))
     sizes = stored(placed.groupBy("dim", "cell").agg(blocks(True).alias("homes"), blocks(False).alias("guests"), F.sum((~F.col("home")).cast("long")).alias("n_guests")), "sizes")
     dealt = placed.join(small(sizes), ["dim", "cell"])
     spot = lambda many: F.pmod(F.xxhash64("vec_id"), F.col(many))
@@ -181,4 +189,14 @@ def op3_cell_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-ORACLE = None
+#: The same result by brute force over all pairs of vectors.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, len(q) AS dim, list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))) AS q FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.dim = b.dim AND a.vec_id <> b.vec_id AND list_dot_product(a.q, b.q) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node AND r.low < l.b),
+c AS (SELECT node, min(low) AS low FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""

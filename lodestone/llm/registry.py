@@ -21,8 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_length_buckets": packing.op8_length_buckets,
         "op9_gru_toxicity": toxicity.op9_gru_toxicity,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
+        # what SQL can say of operators whose whole result it can't
+        "pii_base_spans": pii.base_spans,
+        "bucket_padding": packing.padding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tiled_topk": topk.ORACLE, "op5_pareto_mix": mixing.ORACLE, "op6_license_join": licenses.ORACLE}
+    return {
+        "op1_tiled_topk": topk.ORACLE,
+        "op3_cell_dedup": cells.ORACLE,
+        "op5_pareto_mix": mixing.ORACLE,
+        "op6_license_join": licenses.ORACLE,
+        "op10_minhash_dedup": minhash.ORACLE,
+        "pii_base_spans": pii.BASE_SQL,
+        "bucket_padding": packing.PADDING_SQL,
+    }

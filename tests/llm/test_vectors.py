@@ -20,8 +20,7 @@ def usable(v):
 
 
 def test_cells_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cells, "CELL_ROWS", 30)
-    monkeypatch.setattr(cells, "BLOCK", 16)
+    monkeypatch.setattr(cells, "BLOCK_VALUES", 96)
     rows = vectors()
     good = {i: v for i, v, _ in rows if usable(v) and any(v)}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
@@ -48,8 +47,7 @@ def test_cells_without_rows_or_ids(spark):
 
 
 def test_top_k_equals_brute_force_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 20)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "TILE_VALUES", 120)
     monkeypatch.setattr(topk, "FAN", 2)
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in vectors() if usable(v)]
     frame = spark.createDataFrame(whole, "vec_id long, vector array<long>")
@@ -68,3 +66,15 @@ def test_top_k_beyond_double_precision_and_empty(spark):
     got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, big * big + 2), (0, 2, 1, big * big + 1)]
     assert topk.top_k(frame.where("false"), F.col("vec_id") == 0).count() == 0
+
+
+def test_top_k_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(0, [2, 0]), (0, [1, 0]), (0, [1, 0]), *[(i, [i, 0]) for i in range(1, 8)], (7, [7, 0])]
+    frame = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id long, vector array<long>, rank int, score long, query_id string")
+    got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 7, 7), (0, 2, 7, 7), (0, 3, 6, 6), (0, 4, 5, 5), (0, 5, 4, 4)]
+
+
+def test_cells_with_clashing_columns_and_ties(spark):
+    frame = spark.createDataFrame([(i, [1.0, float(i % 2)], 0, "a", 5) for i in range(6)], "vec_id long, embedding array<double>, n_links int, component_id string, dim int")
+    assert sorted(tuple(r) for r in cells.near_vectors(frame).collect()) == [(i, 2, i % 2, i < 2) for i in range(6)]
