@@ -1,4 +1,4 @@
-"""Merge of a notice's items: order-dependent, so each notice is merged in one Arrow group.
+"""Merge of a notice's items: order-dependent, so rows are sorted by notice and one pass over a partition merges each.
 
 Groups are bounded by the requests of a notice.  The two steps that are plain windows (exclusion and source priority)
 run before, as columns.
@@ -6,13 +6,16 @@ run before, as columns.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as X
-from . import policy
+from . import flow, policy
 
 NUMBERS, TEXTS = ("unit_price", "quantity", "total_price"), ("brand_supplier", "spec_model", "quantity_unit")
 SCHEMA = (
@@ -31,10 +34,13 @@ def exact_merge(items: DataFrame) -> DataFrame:
 
 def prioritized(items: DataFrame) -> DataFrame:
     """E-09 steps 1 and 2, A-14: items that are no award go, then those of weak sources whose product a strong source has."""
-    name = X.canonical_product_name(F.col("product_service_name"))
-    rows = items.withColumn("reason", policy.item_non_result(F.col("tier"), F.col("product_service_name"), F.col("brand_supplier"), F.col("spec_model"), F.col("quantity_unit"))).where("reason is null").drop("reason")
+    plain = {f"_c_{c}": X.compact_nfkc(F.col(c)) for c in ("product_service_name", "brand_supplier", "spec_model", "quantity_unit")}
+    rows = flow.settled(items.withColumns(plain))
+    reason = policy.compact_item_non_result(F.col("tier"), *[F.col(c) for c in plain])
+    name = X.canonical_compact(F.col("_c_product_service_name"))
+    rows = flow.settled(rows.withColumns({"_reason": reason, "_name": name}).drop(*plain)).where("_reason is null").drop("_reason")
     best = F.max("tier").over(Window.partitionBy("notice_id", "_name"))
-    return rows.withColumn("_name", name).withColumn("_best", best).where("not (tier <= 1 and _best >= 3)").drop("_best")
+    return rows.withColumn("_best", best).where("not (tier <= 1 and _best >= 3)").drop("_best")
 
 
 def _key(value) -> str:
@@ -77,9 +83,9 @@ def _absorb(kept: dict, other: dict, fields: bool = True) -> dict:
     return out
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    title = rows["_title"].iloc[0] or ""
-    items = rows.sort_values("pos", kind="stable").to_dict("records")
+def _merge(items: list[dict]) -> list[dict]:
+    """The final items of one notice, whose items come in order."""
+    title = items[0]["_title"] or ""
     for item in items:
         item |= {"refs": list(item["refs"]), "request_ids": [item["request_id"]], "conflicts": []}
     # same fields, then same evidence
@@ -120,7 +126,23 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
         return len(name) >= 8 and bool(title) and (name in title or title in name) and not any(_known(item[f]) for f in ("brand_supplier", "spec_model", "unit_price"))
 
     final = [x for x in kept if not (detailed >= 2 and generic(x))]
-    return pd.DataFrame([x | {"item_no": i, "merged": joined} for i, x in enumerate(final, 1)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    return [x | {"item_no": i, "merged": joined} for i, x in enumerate(final, 1)]
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+_COLUMNS = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Final items of the notices of a partition that is sorted by notice and position."""
+    out: list[dict] = []
+    for _, items in groupby((item for batch in batches for item in batch.to_pylist()), key=lambda item: item["notice_id"]):
+        out += _merge(list(items))
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_pylist(out, _COLUMNS)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _COLUMNS)
 
 
 def merge_notices(items: DataFrame, titles: DataFrame) -> DataFrame:
@@ -131,7 +153,7 @@ def merge_notices(items: DataFrame, titles: DataFrame) -> DataFrame:
     """
     rows = prioritized(items).join(titles.select("notice_id", X.canonical_product_name(F.col("title")).alias("_title")), "notice_id", "left")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in NUMBERS})
-    return rows.groupBy("notice_id").applyInPandas(_merge, SCHEMA)
+    return rows.repartition("notice_id").sortWithinPartitions("notice_id", "pos").mapInArrow(_merged, SCHEMA)
 
 
 def notice_rollup(outcomes: DataFrame) -> DataFrame:

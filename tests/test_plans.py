@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import extraction, flow
+from lodestone.operators import extraction, flow, merging
 
 
 def plan(rows) -> str:
@@ -21,3 +21,26 @@ def test_enriched_columns_name_each_step_once(spark):
     out = rows.select(extraction.enrich_columns(F.col("fields"), F.col("header")).alias("m"))
     assert plan(out).count("品牌") == 1
     assert out.first()["m"] == {"product_service_name": 2, "brand_supplier": 1}
+
+
+ITEMS = (
+    "notice_id string, pos int, product_service_name string, category_name string, category_code string, brand_supplier string, spec_model string, "
+    "unit_price double, quantity double, quantity_unit string, total_price double, refs array<string>, request_id string, confidence double, tier int"
+)
+
+
+def item(notice, pos, name):
+    return (notice, pos, name, None, None, None, None, None, 1.0, None, None, [f"r{pos}"], "q", 0.8, 3)
+
+
+def test_items_are_made_compact_once(spark):
+    rows = spark.createDataFrame([item("a", 0, "x")], ITEMS)
+    assert plan(merging.prioritized(rows)).count("(?U)\\s+") == 4  # name, brand, model and unit
+
+
+def test_notices_are_merged_in_one_pass_over_sorted_rows(spark):
+    rows = spark.createDataFrame([item(f"n{n % 50}", n, f"p{n % 3}") for n in range(450)], ITEMS)
+    out = merging.merge_notices(rows, rows.select("notice_id", F.lit("t").alias("title")).distinct())
+    assert "InPandas" not in plan(out)
+    got = {(r["notice_id"], r["item_no"]): (r["product_service_name"], list(r["refs"])) for r in out.collect()}
+    assert len(got) == 150 and got["n7", 1] == ("p1", ["r7", "r157", "r307"])
