@@ -318,18 +318,21 @@ def backfill_codes(items: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.withColumn("category_code", F.coalesce("category_code", F.when(~F.coalesce("has_code_column", F.lit(False)), code))).drop("category_cell", "has_code_column")
 
 
-def paired(pages: DataFrame, archives: DataFrame, target: int | None = None) -> DataFrame:
-    """SRC-22, R-10: pages with their archive by stem; what has none, or is over a target, is given a reason."""
+def paired(pages: DataFrame, archives: DataFrame, target: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-22, R-10: pages with their archive by stem; what has none, or is over a target, is given a reason.
+
+    Files whose stems are alike meet only if they agree in the columns ``within`` (what else tells them apart)."""
     stem = lambda c: F.regexp_extract(c, r"([^/]+?)\.[^./]+$", 1)
-    left = pages.select(stem(F.col("path")).alias("stem"), F.col("path").alias("page"))
-    right = archives.select(stem(F.col("path")).alias("stem"), F.col("path").alias("archive"))
-    rows = left.join(right, "stem", "full_outer")
+    keys = [*within, "stem"]
+    left = pages.select(*within, stem(F.col("path")).alias("stem"), F.col("path").alias("page"))
+    right = archives.select(*within, stem(F.col("path")).alias("stem"), F.col("path").alias("archive"))
+    rows = left.join(right, keys, "full_outer")
     whole = F.col("page").isNotNull() & F.col("archive").isNotNull()
     over = F.lit(False)
     if target is not None:
         # the first ones by stem are a bounded list, found without numbering the rest
-        first = rows.where(whole).orderBy("stem").limit(target).select("stem", F.lit(True).alias("_first"))
-        rows, over = rows.join(first, "stem", "left"), F.col("_first").isNull()
+        first = rows.where(whole).orderBy("stem", *within).limit(target).select(*keys, F.lit(True).alias("_first"))
+        rows, over = rows.join(first, keys, "left"), F.col("_first").isNull()
     return rows.withColumn("reason", F.when(~whole, "missing_html_or_zip").when(over, "over_target")).drop("_first")
 
 

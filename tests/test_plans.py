@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import extraction, flow, merging
+from lodestone.operators import evaluation, extraction, flow, merging
 
 
 def plan(rows) -> str:
@@ -44,3 +44,10 @@ def test_notices_are_merged_in_one_pass_over_sorted_rows(spark):
     assert "InPandas" not in plan(out)
     got = {(r["notice_id"], r["item_no"]): (r["product_service_name"], list(r["refs"])) for r in out.collect()}
     assert len(got) == 150 and got["n7", 1] == ("p1", ["r7", "r157", "r307"])
+
+
+def test_files_with_one_stem_pair_only_within_their_group(spark):
+    pages = spark.createDataFrame([(1, "a/f1.html"), (2, "a/f1.html")], "part long, path string")
+    archives = spark.createDataFrame([(1, "b/f1.zip"), (3, "b/f1.zip")], "part long, path string")
+    got = sorted((r["part"], r["stem"], r["reason"]) for r in evaluation.paired(pages, archives, 1, within=("part",)).collect())
+    assert got == [(1, "f1", None), (2, "f1", "missing_html_or_zip"), (3, "f1", "missing_html_or_zip")]
