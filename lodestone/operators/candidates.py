@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as X
+from . import flow
 
 
 def review_state(value: Column) -> Column:
@@ -43,12 +44,16 @@ def header_row(cells: Column) -> Column:
     return (short >= 2) & (F.coalesce(F.array_max(F.transform(cells, F.length)), F.lit(0)) <= 120)
 
 
+def _found(name: str):
+    return lambda place: F.when(place > 0, F.struct(F.lit(name).alias("field"), (place - 1).cast("int").alias("place")))
+
+
 def match_columns(cells: Column) -> Column:
     """E-13: field to leftmost column whose cell holds one of its names; a column may serve several fields."""
     pairs = []
     for name, aliases in L.HEADER_ALIASES.items():
         place = F.array_position(F.transform(cells, X.holds_any(aliases)), F.lit(True))
-        pairs.append(F.when(place > 0, F.struct(F.lit(name).alias("field"), (place - 1).cast("int").alias("place"))))
+        pairs.append(X.once(place, _found(name)))
     return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
 
 
@@ -61,18 +66,21 @@ def bids(blocks: DataFrame) -> DataFrame:
     tables = blocks.where((F.col("type") == "table") & ~X.contains_any(F.coalesce("source.file_name", F.lit("")), L.RELATION_EXCLUDED) & (F.size("rows") > 0))
     heads = F.transform(F.slice("rows", 1, 8), lambda row: F.transform(row, X.compact_cell))
     facts = F.array(*[F.lit(x) for x in ("amount", "score", "rank", "qualification", "compliance", "result")])
-    tables = tables.withColumn("_heads", heads).withColumn("_maps", F.transform("_heads", match_columns))
-    good = lambda m, cells: F.map_contains_key(m, "org") & F.arrays_overlap(F.map_keys(m), facts) & header_row(cells)
+    # a row that names no bidder is no header, so its other columns are not looked for
+    tables = flow.settled(tables.withColumn("_heads", heads))
+    named = lambda cells: X.contains_any(F.array_join(cells, "\n"), L.HEADER_ALIASES["org"])
+    tables = flow.settled(tables.withColumn("_maps", F.transform("_heads", lambda cells: F.when(named(cells), match_columns(cells)))))
+    good = lambda m, cells: m.isNotNull() & F.map_contains_key(m, "org") & F.arrays_overlap(F.map_keys(m), facts) & header_row(cells)
     sizes = F.zip_with("_maps", "_heads", lambda m, cells: F.when(good(m, cells), F.size(m)).otherwise(0))
-    tables = tables.withColumn("_sizes", sizes).where(F.array_max("_sizes") > 0).withColumn("_at", F.array_position("_sizes", F.array_max("_sizes")).cast("int"))
+    tables = flow.settled(tables.withColumn("_sizes", sizes)).where(F.array_max("_sizes") > 0).withColumn("_at", F.array_position("_sizes", F.array_max("_sizes")).cast("int"))
     tables = tables.withColumn("_map", F.element_at("_maps", F.col("_at"))).withColumn("_head", F.element_at(F.element_at("_heads", F.col("_at")), F.element_at("_map", "org") + 1))
-    rows = tables.select("notice_id", "block_id", "pos", "_at", "_map", "_head", F.posexplode("rows").alias("_i", "_row")).where("_i >= _at")
+    rows = flow.settled(tables.select("notice_id", "block_id", "pos", "_at", "_map", "_head", "rows")).select("*", F.posexplode("rows").alias("_i", "_row")).drop("rows").where("_i >= _at")
     cell = lambda name: F.get(F.col("_row"), F.element_at("_map", name))
-    rows = rows.withColumn("name", X.one_line(cell("org"))).where(X.valid_org_name(F.col("name")) & ~X.contains_any(F.col("name"), ("合计", "供应商名称", "投标人名称")))
-    number = X.relation_number(cell("rank"))
-    rows = rows.withColumn("rank", F.when(number >= 1, number.cast("int")))
+    rows = flow.settled(rows.withColumn("name", X.one_line(cell("org")))).where(X.valid_org_name(F.col("name")) & ~X.contains_any(F.col("name"), ("合计", "供应商名称", "投标人名称")))
+    rows = flow.settled(rows.withColumn("rank", X.once(X.relation_number(cell("rank")), lambda number: F.when(number >= 1, number.cast("int")))))
     declared = F.when(F.col("_head").contains("中标"), "中标").when(F.col("_head").contains("成交"), "成交")
-    plain = bid_result(cell("result"), F.col("rank"))
+    rows = flow.settled(rows.withColumn("_plain", bid_result(cell("result"), F.col("rank"))))
+    plain = F.col("_plain")
     rows = rows.select(
         "notice_id",
         F.coalesce(F.nullif(X.one_line(cell("package")), F.lit("")), F.lit(L.DEFAULT_PACKAGE)).alias("package_no"),
@@ -88,6 +96,7 @@ def bids(blocks: DataFrame) -> DataFrame:
         (F.col("_i") + 1).cast("int").alias("block_row"),
         F.struct("pos", "_i").alias("_order"),
     )
+    rows = flow.settled(rows)
     award = F.col("result").isin(*L.WON)
     first = lambda c, test=None: F.min_by(c, F.when(F.col(c).isNotNull() if test is None else test, F.col("_order")))
     settled = lambda c: F.coalesce(first(c, F.col(c) != "未知"), F.lit("未知"))
@@ -113,45 +122,58 @@ def bypassed(rows: DataFrame, most: int = L.LARGE_TABLE) -> DataFrame:
 
 def pick(json: Column, *names: str) -> Column:
     """E-17: the first of several spellings that a model's JSON object has."""
-    return F.coalesce(*[F.get_json_object(json, f"$.{n}") for n in names])
+    return F.coalesce(*[_member(json, n) for n in names])
+
+
+def _member(json: Column, name: str) -> Column:
+    """A member of a JSON object.  Text without the name has no such member and is not parsed, unless it holds escapes."""
+    return F.when(json.contains(name) | json.contains("\\"), F.get_json_object(json, f"$.{name}"))
 
 
 def model_bids(answers: DataFrame, legacy: bool = False) -> DataFrame:
     """E-17: bids of model answers (notice_id, answer JSON): winners first, one for each name of a package."""
-    packages = answers.select("notice_id", F.posexplode(F.from_json(F.get_json_object("answer", "$.packages"), "array<string>")).alias("_p", "package"))
-    each = lambda name: F.coalesce(F.from_json(F.get_json_object("package", f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+    listed = flow.settled(answers.select("notice_id", F.from_json(F.get_json_object("answer", "$.packages"), "array<string>").alias("_packages")))
+    packages = listed.select("notice_id", F.posexplode("_packages").alias("_p", "package"))
+    each = lambda name: F.coalesce(F.from_json(_member(F.col("package"), name), "array<string>"), F.array().cast("array<string>"))
     winner = F.get_json_object("package", "$.winner")
     every = F.concat(
         F.when(winner.isNotNull(), F.array(F.struct(F.lit(True).alias("won"), winner.alias("bid")))).otherwise(F.expr("cast(array() as array<struct<won:boolean,bid:string>>)")),
         F.transform(F.concat(each("bidders"), each("other_bidders")), lambda b: F.struct(F.lit(False).alias("won"), b.alias("bid"))),
     )
-    rows = packages.select("notice_id", "_p", F.coalesce(pick(F.col("package"), "package_no", "package_id"), F.lit(L.DEFAULT_PACKAGE)).alias("package_no"), F.posexplode(every).alias("_b", "v"))
+    rows = flow.settled(packages.select("notice_id", "_p", F.coalesce(pick(F.col("package"), "package_no", "package_id"), F.lit(L.DEFAULT_PACKAGE)).alias("package_no"), every.alias("_every")))
+    rows = rows.select("notice_id", "_p", "package_no", F.posexplode("_every").alias("_b", "v"))
     bid = F.col("v.bid")
-    org = F.coalesce(pick(bid, "org", "organization", "supplier", "bidder", "company"), bid)
+    rows = flow.settled(rows.withColumn("_org", F.coalesce(pick(bid, "org", "organization", "supplier", "bidder", "company"), bid)))
+    org = F.col("_org")
     plain = F.when(~org.startswith("{"), org)
-    rows = rows.withColumn("name", F.coalesce(pick(org, "name", "org_name", "supplier_name", "company_name"), plain)).where("name is not null")
+    rows = flow.settled(rows.withColumn("name", F.coalesce(pick(org, "name", "org_name", "supplier_name", "company_name"), plain)).drop("_org")).where("name is not null")
     rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("notice_id", "_p", "name").orderBy("_b"))).where("_turn = 1")
-    return rows.select(
+    answered = {"_qualification": F.coalesce(pick(bid, "qualification"), F.lit("未知")), "_compliance": F.coalesce(pick(bid, "compliance"), F.lit("未知")), "_result": pick(bid, "result", "outcome")}
+    rows = flow.settled(rows.withColumns(answered))
+    found = rows.select(
         "notice_id",
         "package_no",
         "name",
         pick(bid, "amount_yuan", "amount").try_cast("double").alias("amount_yuan"),
         pick(bid, "score").try_cast("double").alias("score"),
         pick(bid, "rank").try_cast("int").alias("rank"),
-        review_state(F.coalesce(pick(bid, "qualification"), F.lit("未知"))).alias("qualification"),
-        review_state(F.coalesce(pick(bid, "compliance"), F.lit("未知"))).alias("compliance"),
-        model_result(pick(bid, "result", "outcome"), F.col("v.won"), legacy).alias("result"),
+        review_state(F.col("_qualification")).alias("qualification"),
+        review_state(F.col("_compliance")).alias("compliance"),
+        model_result(F.col("_result"), F.col("v.won"), legacy).alias("result"),
         pick(bid, "evidence_block_id").alias("block_id"),
         pick(bid, "evidence_block_row", "row").try_cast("int").alias("block_row"),
     )
+    return flow.settled(found)
 
 
 def recovered_rows(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """E-19, E-20: bids with the one table row that names them (equal, or holding a name of four characters or more);
     ``valid`` tells if their block is there and the row within it."""
-    rows = blocks.select("notice_id", "block_id", F.posexplode("rows").alias("_i", "_row"))
-    cells = rows.select("notice_id", "block_id", (F.col("_i") + 1).alias("_at"), F.explode("_row").alias("_c")).withColumn("_c", X.match_text(F.col("_c")))
-    names = found.select("notice_id", "block_id", "name").distinct().withColumn("_n", X.match_text(F.col("name"))).where("_n <> ''")
+    rows = flow.settled(blocks.select("notice_id", "block_id", "rows")).select("notice_id", "block_id", F.posexplode("rows").alias("_i", "_row"))
+    cells = rows.select("notice_id", "block_id", (F.col("_i") + 1).alias("_at"), F.explode("_row").alias("_c"))
+    cells = flow.settled(cells.withColumn("_c", X.match_text(F.col("_c"))))
+    found = flow.kept(found)
+    names = flow.settled(found.select("notice_id", "block_id", "name").distinct().withColumn("_n", X.match_text(F.col("name")))).where("_n <> ''")
     hits = names.join(cells, ["notice_id", "block_id"]).where((F.col("_c") == F.col("_n")) | ((F.length("_n") >= 4) & F.col("_c").contains(F.col("_n"))))
     hits = hits.select("notice_id", "block_id", "name", "_at").distinct()
     one = hits.groupBy("notice_id", "block_id", "name").agg(F.count("*").alias("_hits"), F.min("_at").alias("_at")).where("_hits = 1").drop("_hits")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation, extraction, flow, merging
+from lodestone.operators import candidates, evaluation, extraction, flow, merging, selection
 
 
 def plan(rows) -> str:
@@ -51,3 +51,34 @@ def test_files_with_one_stem_pair_only_within_their_group(spark):
     archives = spark.createDataFrame([(1, "b/f1.zip"), (3, "b/f1.zip")], "part long, path string")
     got = sorted((r["part"], r["stem"], r["reason"]) for r in evaluation.paired(pages, archives, 1, within=("part",)).collect())
     assert got == [(1, "f1", None), (2, "f1", "missing_html_or_zip"), (3, "f1", "missing_html_or_zip")]
+
+
+def test_members_of_answers_are_found_whatever_their_spelling(spark):
+    bids = ['{"name":"a"}', "{'name':'a'}", '{"n\\u0061me":"a"}', '{"other":"name"}', "name", None]
+    rows = spark.createDataFrame([(b,) for b in bids], "b string")
+    assert [r["n"] for r in rows.select(candidates.pick(F.col("b"), "org_name", "name").alias("n")).collect()] == ["a", "a", "a", None, None, None]
+
+
+def test_bids_of_answers_parse_each_member_once(spark):
+    answers = spark.createDataFrame([("n", '{"packages":[{"winner":{"supplier":"x"},"bidders":[{"org":{"name":"y"}}]}]}')], "notice_id string, answer string")
+    out = candidates.model_bids(answers)
+    assert plan(out.where("name > ''")).count("$.company_name") == 1
+    assert sorted((r["name"], r["result"]) for r in out.collect()) == [("x", "中标"), ("y", "未知")]
+
+
+def test_headers_of_bidder_tables_are_looked_for_once(spark):
+    kind = "notice_id string, block_id string, pos int, type string, text string, rows array<array<string>>, source struct<file_name:string>"
+    blocks = spark.createDataFrame([("n", "b", 0, "table", "", [["供应商名称", "排名"], ["某公司", "1"]], ("x",))], kind)
+    out = candidates.bids(blocks)
+    assert plan(out).count("评审得分") == 1
+    assert [(r["name"], r["rank"]) for r in out.collect()] == [("某公司", 1)]
+
+
+def test_scores_of_tables_and_texts_are_computed_once(spark):
+    source = "source struct<document_id:string,file_name:string,container_path:string,file_type:string,sheet:string,page:int>"
+    blocks = spark.createDataFrame([("n", "b", 0, "heading", "主要标的信息", None, ("d", "x", "x", "html", None, None))], f"notice_id string, block_id string, pos int, type string, text string, rows array<array<string>>, {source}")
+    out = selection.score_texts(blocks)
+    assert plan(out).count("网站标识码") == 1 and out.count() == 1
+    cells = spark.createDataFrame([(["货物名称", "x", "规格型号"],), (["a"],), ([],)], "c array<string>").select(selection.match_header(F.col("c")).alias("m"))
+    assert [r["m"] for r in cells.collect()] == [{"product_service_name": 0, "spec_model": 2}, {}, {}]
+    assert plan(cells).count("采购人") == 1
