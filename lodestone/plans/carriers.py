@@ -18,6 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file by key over all tasks: a file of few megabytes is read by one task, which would do alone all that
+    is computed from its rows."""
+    return rows.repartition(key)
+
+
 def project_units(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("project_id"), "o_custkey")
     units = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("org_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as X
-from ..operators import geometry, policy, selection
+from ..operators import flow, geometry, policy, selection
 from . import carriers as C
 from .queries import query
 
@@ -23,7 +23,7 @@ _CJK = "\u4e00-\u9fff"
 
 def made(spark: SparkSession, d: str, **texts: list) -> DataFrame:
     """``part`` as k and one column for each list of texts."""
-    rows = C.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"))
+    rows = C.spread(C.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k")), "k")
     return rows.select("k", *[picked(F.col("k"), own).alias(name) for name, own in texts.items()])
 
 
@@ -300,7 +300,9 @@ def markdown_tables(spark, d):
     row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells])
     body = row(F.col("p_name"), F.concat("p_brand", F.lit("\nx")), "")
     table = F.array(row("", "", ""), row("h|1", "h2", ""), row("", "", ""), body, row("", F.col("p_size").cast("string"), ""), row("", "", ""))
-    return C.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), X.table_to_markdown(X.trim_table(table)).alias("markdown"))
+    rows = C.spread(C.read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    trimmed = flow.settled(rows.select(F.col("p_partkey").cast("long").alias("k"), X.trim_table(table).alias("rows")))
+    return trimmed.select("k", X.table_to_markdown(F.col("rows")).alias("markdown"))
 
 
 RAW = ["a&amp;b\u00a0 c#\r\n\r\n\r\n\r\nd", "\u200bx \t y \n z#\u3000", "&lt;p&gt; #", "plain #", None]
