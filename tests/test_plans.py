@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import candidates, evaluation, extraction, flow, merging, selection
+from lodestone.plans.queries import QUERIES
 
 
 def plan(rows) -> str:
@@ -82,3 +83,19 @@ def test_scores_of_tables_and_texts_are_computed_once(spark):
     cells = spark.createDataFrame([(["货物名称", "x", "规格型号"],), (["a"],), ([],)], "c array<string>").select(selection.match_header(F.col("c")).alias("m"))
     assert [r["m"] for r in cells.collect()] == [{"product_service_name": 0, "spec_model": 2}, {}, {}]
     assert plan(cells).count("采购人") == 1
+
+
+def _planned(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_suppliers_meet_by_blocks(spark, sf, monkeypatch):
+    from lodestone.operators import relations
+
+    whole = QUERIES["supplier_common_units"](spark, sf).toPandas()
+    monkeypatch.setattr(relations, "BLOCK", 3)
+    rows = QUERIES["supplier_common_units"](spark, sf)
+    assert "_a#" in _planned(rows).split("SortMergeJoin", 1)[-1] or "_a#" in _planned(rows).split("HashJoin", 1)[-1]
+    order = ["unit_id", "supplier_a", "supplier_b"]
+    one, two = (x.sort_values(order).reset_index(drop=True) for x in (whole, rows.toPandas()))
+    assert len(one) and one.equals(two)
