@@ -54,13 +54,14 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str], condition: Column
 def unit_cobid_pairs(t: Tables) -> DataFrame:
     """A-03, J-02: projects in which two suppliers bid for one package, by buyer.
 
-    Pairs are counted by package before they meet their buyers, so pair rows carry ids only.
+    A package's bidders meet its buyer as one list; pairs are made from the list, carry ids only and are counted where they
+    are dealt to, as few of them repeat within a task.
     """
-    one = t["bids"].select("package_id", F.col("org_id").alias("bidder_a"))
-    two = t["bids"].select("package_id", F.col("org_id").alias("bidder_b"))
-    rows = _pairs(one, two, ["package_id"], F.col("bidder_a") < F.col("bidder_b")).join(t["packages"].select("package_id", "project_id"), "package_id")
+    met = t["bids"].groupBy("package_id").agg(F.sort_array(F.collect_set("org_id")).alias("orgs")).where("size(orgs) > 1").join(t["packages"].select("package_id", "project_id"), "package_id")
     units = t["project_units"].where(F.col("role") == L.UNIT_ROLE).select("project_id", F.col("org_id").alias("unit_id"))
-    return rows.join(units, "project_id").groupBy("unit_id", "bidder_a", "bidder_b").agg(F.countDistinct("project_id").alias("project_count"))
+    one = met.join(units, "project_id").select("project_id", "unit_id", "orgs", F.posexplode("orgs").alias("_n", "bidder_a"))
+    rows = one.select("project_id", "unit_id", "bidder_a", F.explode(F.expr("slice(orgs, _n + 2, size(orgs))")).alias("bidder_b"))
+    return flow.dealt(rows, "unit_id", "bidder_a", "bidder_b").groupBy("unit_id", "bidder_a", "bidder_b").agg(F.countDistinct("project_id").alias("project_count"))
 
 
 def supplier_cobid(t: Tables) -> DataFrame:

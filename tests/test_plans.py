@@ -89,6 +89,17 @@ def _planned(rows) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tasks_are_counted_by_the_bytes_of_the_input(spark, sf, monkeypatch):
+    monkeypatch.setattr(flow, "MANY_BYTES", 1)
+    monkeypatch.setattr(flow, "TASK_BYTES", 10_000)
+    for name, keys in (("unit_cobid_pairs", "unit_id#"),):
+        rows = QUERIES[name](spark, sf)
+        plan = _planned(rows)
+        dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+        assert any(f"hashpartitioning({keys}" in line for line in dealt) and any("hashpartitioning(l_orderkey#" in line for line in dealt), name
+        assert all(int(line.split("), REPARTITION")[0].rsplit(", ", 1)[1]) > 8 for line in dealt), name
+
+
 def test_pairs_of_suppliers_meet_by_blocks(spark, sf, monkeypatch):
     from lodestone.operators import relations
 
