@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as X
+from . import flow
 from .relations import Tables, won
 
 
@@ -135,7 +136,7 @@ def graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     lines = edges[0]
     for more in edges[1:]:
         lines = lines.union(more)
-    return both.groupBy("project_id", "id").agg(F.max_by("name", "ord").alias("name"), F.max_by("type", "ord").alias("type")), lines
+    return flow.dealt(both, "project_id").groupBy("project_id", "id").agg(F.max_by("name", "ord").alias("name"), F.max_by("type", "ord").alias("type")), lines
 
 
 def project_subgraph(t: Tables, project_id) -> tuple[DataFrame, DataFrame]:
