@@ -40,7 +40,8 @@ def unit_win_stats(t: Tables) -> DataFrame:
 def unit_bidder_stats(t: Tables) -> DataFrame:
     """A-02: packages bid for and won, and money won, by buyer and bidder."""
     hit = won(F.col("result"))
-    return _unit_bids(t).groupBy("unit_id", F.col("org_id").alias("bidder_id")).agg(
+    rows = flow.dealt(_unit_bids(t).select("unit_id", F.col("org_id").alias("bidder_id"), "package_id", "result", "amount_yuan"), "unit_id", "bidder_id")
+    return rows.groupBy("unit_id", "bidder_id").agg(
         F.countDistinct("package_id").alias("bid_count"),
         F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("win_count"),
         F.coalesce(F.sum(F.when(hit, F.col("amount_yuan")).otherwise(0)), F.lit(0)).cast("double").alias("total_win_amount_yuan"),

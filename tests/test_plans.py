@@ -92,7 +92,7 @@ def _planned(rows) -> str:
 def test_tasks_are_counted_by_the_bytes_of_the_input(spark, sf, monkeypatch):
     monkeypatch.setattr(flow, "MANY_BYTES", 1)
     monkeypatch.setattr(flow, "TASK_BYTES", 10_000)
-    for name, keys in (("unit_cobid_pairs", "unit_id#"), ("graph_nodes", "project_id#")):
+    for name, keys in (("unit_cobid_pairs", "unit_id#"), ("unit_bidder_stats", "unit_id#"), ("graph_nodes", "project_id#")):
         rows = QUERIES[name](spark, sf)
         plan = _planned(rows)
         dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
