@@ -54,9 +54,11 @@ def pdf_blocks(files: DataFrame, reader, keywords: tuple[str, ...] = (), ocr: Da
     the tables, then, for pages with little text, what ``ocr`` (document_id, page, text) read of those chosen for it.
     """
     from ..operators import geometry
-    from ..operators.flow import numbered
+    from ..operators.flow import dealt, numbered, settled
 
     layout = files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInPandas(partial(_layout, reader=reader), LAYOUT)
+    # each branch below reads the same shuffle; filters that passed it would have the files read once a branch
+    layout = settled(dealt(layout, "document_id", "page"))
     box = ["x0", "y0", "x1", "y1"]
     tables = layout.where("kind = 'table'")
     paragraphs = geometry.in_reading_order(geometry.uncovered(layout.where("kind = 'paragraph' and text <> ''"), tables)).select("document_id", "page", F.lit(0).alias("_step"), F.col("place").cast("int").alias("place"), F.lit("paragraph").alias("type"), "text", "rows")

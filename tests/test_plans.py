@@ -110,3 +110,18 @@ def test_pairs_of_suppliers_meet_by_blocks(spark, sf, monkeypatch):
     order = ["unit_id", "supplier_a", "supplier_b"]
     one, two = (x.sort_values(order).reset_index(drop=True) for x in (whole, rows.toPandas()))
     assert len(one) and one.equals(two)
+
+
+def test_files_are_read_once_for_all_blocks(spark):
+    from lodestone.sources import readers
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def reader(data: bytes) -> list[tuple]:
+        calls.add(1)
+        return [(1, "paragraph", data.decode(), None, 0.0, 0.0, 9.0, 9.0), (1, "table", "", [["x"]], 0.0, 20.0, 9.0, 29.0), (1, "page", "", None, None, None, None, None)]
+
+    files = spark.createDataFrame([(f"d{i}", b"text") for i in range(6)], "document_id string, content binary")
+    rows = readers.pdf_blocks(files, reader).collect()
+    assert sorted(r.type for r in rows) == ["ocr_text"] * 6 + ["paragraph"] * 6 + ["table"] * 6
+    assert calls.value == 6
